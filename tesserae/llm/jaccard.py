@@ -2,10 +2,11 @@
 
 Documents with the same shingle set are one class. Classes fall into groups of likely similar ones (same two
 smallest shingle hashes and size band), cut into blocks of at most BLOCK classes. The matrix has a row
-for each (token, group): the union of the prefix tokens of the group's members with the group's size range. A
-query whose prefix tokens meet no row of a group, or whose size fits none of its members, can have no partner in
-it; for the groups left, |query & union of the group's whole sets| >= threshold * |query| is asked before the
-group is opened, and only in opened groups are members compared, exactly. Tokens found in many documents stand
+for each (token, group): the union of the prefix tokens of the group's members with their size range. Prefixes
+are overlong(n) tokens longer than a first shared token needs; so a query that meets fewer than 1 + overlong rows
+of a group that fit its size can have no partner in it. For the groups left, |query & union of the group's whole
+sets| >= threshold * |query| is asked before the group is opened, and only in opened groups are members
+compared, exactly. Tokens found in many documents stand
 last in the global order that prefixes follow, so that common passages make no candidates. Any order gives the
 same links; which tokens count as common only sets the cost.
 
@@ -34,6 +35,10 @@ def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
 
+def overlong(n: int) -> int:
+    return 1 + n // 50
+
+
 def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted hashes of shingles that many documents share, at most MAX_COMMON.
 
@@ -74,7 +79,8 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
             if not n:
                 yield {"doc_id": r["doc_id"], "n": 0, "fp": None, "g": None, "probe": None, "n_index": 0}
                 continue
-            probe, index = n - ceil_div(num * n, den) + 1, n - ceil_div(2 * num * n, num + den) + 1
+            more = 1 + overlong(n)
+            probe, index = n - ceil_div(num * n, den) + more, n - ceil_div(2 * num * n, num + den) + more
             if len(hot):
                 at = np.searchsorted(hot, u)
                 is_hot = hot[np.minimum(at, len(hot) - 1)] == u
@@ -139,7 +145,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     queries = placed.select(F.explode("probe").alias("token"), F.col("rep").alias("q"), F.col("n").alias("nq"))
     fits = (F.col("least") <= F.col("nq")) & (F.col("most") * den >= F.col("nq") * num) & ((F.col("lo") != F.col("q")) | (F.col("hi") != F.col("q")))
     hits = queries.alias("l").join(matrix.hint("shuffle_hash").alias("r"), (F.col("l.token") == F.col("r.token")) & fits)
-    cand = materialize(hits.select(F.col("q"), F.col("gid")).distinct(), "candidates")
+    smallest = F.ceil(F.col("nq") * num / den).cast("long")
+    met = hits.groupBy("q", "gid").agg(F.count("*").alias("met"), F.first("nq").alias("nq"))
+    cand = materialize(met.filter(F.col("met") >= 2 + F.floor(smallest / 50)).select("q", "gid"), "candidates")
     forget_shuffles(docs.sparkSession)
     load = cand.groupBy("gid").agg(F.count("*").alias("in_gid")).withColumn("chunks", F.ceil(F.col("in_gid") / QUERIES).cast("int"))
     load = materialize(load, "load")

@@ -1,12 +1,12 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents with the same shingle set are one class. Classes fall into groups of likely similar ones (same two
-smallest shingle hashes and size band), cut into blocks of at most BLOCK classes. The matrix has a row
+smallest shingle hashes and size band). The matrix has a row
 for each (token, group): the union of the prefix tokens of the group's members with their size range. Prefixes
 are overlong(n) tokens longer than a first shared token needs; so a query that meets fewer than 1 + overlong rows
 of a group that fit its size can have no partner in it. For the groups left, |query & union of the group's whole
 sets| >= threshold * |query| is asked before the group is opened, and only in opened groups are members
-compared, exactly. Tokens found in many documents stand
+compared, exactly, in blocks of at most BLOCK. Tokens found in many documents stand
 last in the global order that prefixes follow, so that common passages make no candidates. Any order gives the
 same links; which tokens count as common only sets the cost.
 
@@ -137,17 +137,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     reps = table.filter("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("probe").alias("probe"), F.first("n_index").alias("n_index"))
     reps = materialize(reps, "classes")
     large = reps.groupBy("g").agg(F.count("*").alias("in_group")).filter(F.col("in_group") > BLOCK).withColumn("blocks", F.ceil(F.col("in_group") / BLOCK).cast("int"))
-    placed = lookup(reps, large, "g", "in_group", F.col("rep"))
-    placed = placed.withColumn("gid", F.xxhash64("g", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0).cast("long"))))
-    placed = materialize(placed.select("rep", "n", "gid", "probe", "n_index"), "groups")
-    matrix = placed.select(F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("token"), "gid", "rep", "n").repartition("token")
-    matrix = matrix.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    large = materialize(large, "large")
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0).cast("long"))
+    placed = lookup(reps, large, "g", "in_group", F.col("rep")).withColumn("gid", F.xxhash64("g", block))
+    placed = materialize(placed.select("rep", "n", "g", "gid", "probe", "n_index"), "groups")
+    matrix = placed.select(F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("token"), "g", "rep", "n").repartition("token")
+    matrix = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     queries = placed.select(F.explode("probe").alias("token"), F.col("rep").alias("q"), F.col("n").alias("nq"))
     fits = (F.col("least") <= F.col("nq")) & (F.col("most") * den >= F.col("nq") * num) & ((F.col("lo") != F.col("q")) | (F.col("hi") != F.col("q")))
     hits = queries.alias("l").join(matrix.hint("shuffle_hash").alias("r"), (F.col("l.token") == F.col("r.token")) & fits)
     smallest = F.ceil(F.col("nq") * num / den).cast("long")
-    met = hits.groupBy("q", "gid").agg(F.count("*").alias("met"), F.first("nq").alias("nq"))
-    cand = materialize(met.filter(F.col("met") >= 2 + F.floor(smallest / 50)).select("q", "gid"), "candidates")
+    met = hits.groupBy("q", "g").agg(F.count("*").alias("met"), F.first("nq").alias("nq"))
+    met = met.filter(F.col("met") >= 2 + F.floor(smallest / 50)).select("q", "g")
+    met = lookup(met, large, "g", "in_group", F.col("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    cand = materialize(met.select("q", F.xxhash64("g", F.col("block").cast("long")).alias("gid")), "candidates")
     forget_shuffles(docs.sparkSession)
     load = cand.groupBy("gid").agg(F.count("*").alias("in_gid")).withColumn("chunks", F.ceil(F.col("in_gid") / QUERIES).cast("int"))
     load = materialize(load, "load")

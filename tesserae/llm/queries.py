@@ -1,6 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
+from tesserae.llm import mixing
 from tesserae.llm.jaccard import op6_ngram_jaccard_join
+from tesserae.llm.metric_join import op9_embedding_near_dedup
+from tesserae.llm.mixing import op7_mixing
+from tesserae.llm.warc import op3_warc
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_warc": op3_warc,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_mixing": op7_mixing,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}

@@ -93,9 +93,9 @@ WITH d AS (SELECT doc_id, source, text, len(list_filter(string_split_regex(coale
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
 -- capped sources are those of the smallest cap for their weight
 o AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total,
-    coalesce(sum(2.0::DOUBLE * source_size) OVER r, 0) AS caps_before, sum(w) OVER () - coalesce(sum(w) OVER r, 0) AS w_left
+    coalesce(sum(2.0::DOUBLE * source_size) OVER r, 0) AS caps_before, sum(w) OVER () - coalesce(sum(w) OVER r, 0) AS w_left, row_number() OVER r AS k
     FROM s WINDOW r AS (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min((total - caps_before) / w_left) FILTER (WHERE (total - caps_before) / w_left * w < cap) AS per FROM o),
+l AS (SELECT coalesce(arg_min((total - caps_before) / w_left, k) FILTER (WHERE (total - caps_before) / w_left * w < cap), 'inf'::DOUBLE) AS per FROM o),
 t AS (SELECT source, source_size, w, least(cap, per * w) AS target FROM o, l),
 m AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
 r AS (SELECT d.*, source_size, target, whole, round(target - whole * source_size)::BIGINT AS more,

@@ -142,7 +142,7 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("fp", F.concat(F.sha1(F.col("html").cast("binary")), F.lit(":"), F.octet_length("html")))
     groups = p.filter(F.octet_length("html") >= min_bytes).groupBy("fp").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null")
-    out = lookup(p, groups, "fp", "n", F.coalesce("page_id", F.rand(7).cast("long")))
+    out = lookup(p, groups, "fp", "n", F.struct("page_id", "url"))
     return out.select("page_id", "url", "html", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
 
 

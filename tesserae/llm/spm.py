@@ -13,8 +13,10 @@ text. Rows that repeat an id are encoded each; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from tesserae.llm.common import read
 #: Fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
-CACHE, BATCH_CHARS = 300_000, 2_000_000
+CACHE, BATCH_CHARS, LEARN = 400_000, 2_000_000, 20_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,7 +99,7 @@ class Model:
             if t == NORMAL:
                 merges += [(-s, ids[p], ids[p[:i]], (p[:i], p[i:])) for i in range(1, len(p)) if p[:i] in plain and p[i:] in plain]
         merges.sort(key=lambda m: m[:3])
-        return Tokenizer(models.BPE(ids, [m[3] for m in merges], unk_token=self.pieces[self.unk][0], fuse_unk=True, byte_fallback=self.byte_fallback))
+        return Tokenizer(models.BPE(ids, [m[3] for m in merges], unk_token=self.pieces[self.unk][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=0))
 
     def normalizer(self):
         """The normaliser without the marker; None if it changes nothing."""
@@ -139,14 +141,18 @@ class Codec:
         return self.split(text.replace(" ", MARK) if self.model.escape else text)
 
     def learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > CACHE:
-            self.cache, self.differ = {}, set()
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        ids = [e.ids for e in encode(new, add_special_tokens=False)]
-        if self.sp and self.lead:
-            said = self.sp.encode([self.lead + s.replace(MARK, " ") for s in new], num_threads=2)
-            self.differ.update(s for s, a, b in zip(new, ids, said, strict=True) if a != b[self.skip :])
-        self.cache.update(zip(new, (np.array(i, np.int32).tobytes() for i in ids), strict=True))
+        collects = gc.isenabled()
+        gc.disable()  # short lists by the million, no cycles
+        for lo in range(0, len(new), LEARN):
+            part = new[lo : lo + LEARN]
+            ids = [e.ids for e in encode(part, add_special_tokens=False)]
+            if self.sp and self.lead:
+                said = self.sp.encode([self.lead + s.replace(MARK, " ") for s in part], num_threads=2)
+                self.differ.update(s for s, a, b in zip(part, ids, said, strict=True) if a != b[self.skip :])
+            self.cache.update(zip(part, (array("i", i).tobytes() for i in ids), strict=True))
+        if collects:
+            gc.enable()
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool] | None]:
         """Ids, and whether the reference library agrees, for each text."""
@@ -154,8 +160,9 @@ class Codec:
         need = {s for c in cut if c for s in c}
         new = [s for s in need if s not in self.cache]
         if new:
-            if len(self.cache) + len(new) > CACHE:
-                new = list(need)
+            if len(self.cache) + len(new) > CACHE:  # what this batch needs stays
+                self.cache = {s: self.cache[s] for s in need if s in self.cache}
+                self.differ &= need
             self.learn(new)
         out: list[tuple[np.ndarray, bool] | None] = []
         for t, c in zip(texts, cut, strict=True):

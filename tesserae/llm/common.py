@@ -46,21 +46,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
-    """big left join small on key. small has one row a key; count says how many rows of big have it.
+def lookup(big: DataFrame, small: DataFrame, key: str | list[str], count: str, spread: Column) -> DataFrame:
+    """big left join small on key (one column or more). small has one row a key; count says how many rows of big have it.
 
     The HOT_KEYS most frequent keys are broadcast and their rows of big are dealt by spread, so that
     no key with many rows meets in one task. Null keys match nothing.
     """
-    values = [c for c in small.columns if c not in (key, count)]
-    hot = small.orderBy(F.col(count).desc(), F.col(key)).limit(HOT_KEYS).select(F.col(key), F.struct(*values).alias("_hot"))
-    dealt = big.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 30)).cast("int") + 1),
-    )
+    keys = [key] if isinstance(key, str) else key
+    values = [c for c in small.columns if c not in (*keys, count)]
+    hot = small.orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS).select(*keys, F.struct(*values).alias("_hot"))
+    salt = F.pmod(F.xxhash64(spread), F.lit(1 << 30)).cast("int") + 1
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull() & known, F.lit(0)).otherwise(salt))
     # pmod(hash, 1) is 0 for every row, but no constant that the optimizer would fold out of the join key
-    cold = small.select(F.col(key), F.pmod(F.xxhash64(F.col(key)), F.lit(1)).cast("int").alias("_salt"), F.struct(*values).alias("_cold"))
-    out = dealt.join(cold, [key, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    cold = small.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int").alias("_salt"), F.struct(*values).alias("_cold"))
+    out = dealt.join(cold, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return out.select(*[F.col(c) for c in big.columns], *[F.col(f"_found.{c}").alias(c) for c in values])
 
 

@@ -2,6 +2,7 @@
 
 from tesserae.llm import mixing
 from tesserae.llm.jaccard import op6_ngram_jaccard_join
+from tesserae.llm.lines import op1_line_dedup
 from tesserae.llm.metric_join import op9_embedding_near_dedup
 from tesserae.llm.mixing import op7_mixing
 from tesserae.llm.quality import op8_quality_rules
@@ -11,6 +12,7 @@ from tesserae.llm.toxicity import op2_toxicity
 from tesserae.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_hilbert_sharding": op4_hilbert_sharding,

@@ -100,11 +100,12 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     seen = materialize(lines.select("doc_id", "same", "pos", F.xxhash64("line").alias("h"), (F.crc32(F.col("line").cast("binary")) * 65536 + F.pmod(length, F.lit(65536))).alias("c")), "lines")
     place = F.struct("doc_id", "same", "pos")
     distinct = materialize(seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
-    # keys are made where the line is read; only first occurrences keep theirs
+    # keys are made where the line is read, and go on once for each distinct line
     near = lines.filter(length >= min_chars).withColumn("len", length)
-    near = near.select("doc_id", "same", "pos", F.xxhash64("line").alias("h"), "len", letter_counts(F.col("line"), F.col("len")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
-    index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb")).distinct()
-    probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa")).distinct()
+    near = near.select(F.xxhash64("line").alias("h"), letter_counts(F.col("line"), F.col("len")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
+    near = near.groupBy("h").agg(F.first("w").alias("w"), F.first("parts").alias("parts"), F.first("probes").alias("probes"))
+    index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb"))
+    probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
     fits = (F.col("a") != F.col("b")) & (counts_apart(F.col("wa"), F.col("wb")) <= 2 * tau)
     pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & fits)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a looked-up table that are broadcast: its keys with the most rows. A bound by construction.
 HOT_KEYS = 1024
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -27,21 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished steps."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Forest, WordHashes, components, forget_shuffles, lookup, map_rows, materialize, mix, read, shingle_hashes, signed
+from tesserae.llm.common import Forest, WordHashes, components, lookup, map_rows, materialize, mix, read, shingle_hashes, signed
 
 BLOCK, QUERIES = 128, 1024
 #: Common tokens told to the tasks, at most; a token is common from COMMON sightings on.
@@ -151,7 +151,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     met = met.filter(F.col("met") >= 2 + F.floor(smallest / 50)).select("q", "g")
     met = lookup(met, large, "g", "in_group", F.col("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     cand = materialize(met.select("q", F.xxhash64("g", F.col("block").cast("long")).alias("gid")), "candidates")
-    forget_shuffles(docs.sparkSession)
     load = cand.groupBy("gid").agg(F.count("*").alias("in_gid")).withColumn("chunks", F.ceil(F.col("in_gid") / QUERIES).cast("int"))
     load = materialize(load, "load")
     asks = lookup(cand, load, "gid", "in_gid", F.col("q")).select(F.col("q").alias("doc_id"), "gid", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"))
@@ -169,7 +168,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         yield from links_in(held, k, num, den, cache)
 
     comps = materialize(components(map_rows(opened, run, "a long, b long")), "components")
-    forget_shuffles(docs.sparkSession)
     known = reps.select("fp", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.filter("copies > 1 or component_id is not null").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "copies")
     out = lookup(table.select("doc_id", "n", "fp"), known, "fp", "copies", F.col("doc_id"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import forget_shuffles, lookup, materialize, read
+from tesserae.llm.common import lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
 #: Letters whose counts are compared before texts are.
@@ -93,7 +93,6 @@ def within(a: str, b: str, tau: int) -> str:
 
 def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, same (hash of the text), n_lines, n_exact, n_near, dropped (line numbers from 0) for each document."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), F.col("text").cast("string").alias("text"))
     lines = rows.select("doc_id", "same", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     length = F.char_length("line")
@@ -104,19 +103,18 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     near = lines.filter(length >= min_chars).withColumn("len", length)
     near = near.select(F.xxhash64("line").alias("h"), letter_counts(F.col("line"), F.col("len")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
     near = near.groupBy("h").agg(F.first("w").alias("w"), F.first("parts").alias("parts"), F.first("probes").alias("probes"))
+    near = materialize(near, "keys")
     index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb"))
     probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
     fits = (F.col("a") != F.col("b")) & (counts_apart(F.col("wa"), F.col("wb")) <= 2 * tau)
     pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & fits)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    forget_shuffles(spark)
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))
     found = distinct.join(wanted, "h").select("h", "links", "first")
     by_doc = found.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.same").alias("_s")).agg(F.collect_list(F.struct("h", "links", "first")).alias("want"))  # no more than a document's lines
     texts = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("same") == F.col("_s"))).withColumn("all", F.split("text", "\n", -1))
     texts = texts.select(F.explode(F.transform("want", lambda x: F.struct(x["h"].alias("h"), x["links"].alias("links"), x["first"].alias("first"), F.get(F.col("all"), x["first"]["pos"]).alias("line")))).alias("x")).select("x.*")
     texts = materialize(texts.dropDuplicates(["h"]), "texts")
-    forget_shuffles(spark)
     side = lambda c: texts.select(F.col("h").alias(c), "links", F.col("first").alias(f"f{c}"), F.col("line").alias(f"l{c}"))
     both = lookup(lookup(pairs, side("a"), "a", "links", F.col("b")), side("b"), "b", "links", F.col("a"))
     close = both.filter((F.abs(F.char_length("la") - F.char_length("lb")) <= tau) & F.expr(within("la", "lb", tau)))

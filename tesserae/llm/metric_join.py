@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Forest, components, forget_shuffles, lookup, materialize, read
+from tesserae.llm.common import Forest, components, lookup, materialize, read
 
 #: Vectors in a block; pivots at most; vectors for each pivot.
 BLOCK, MAX_PIVOTS, PER_PIVOT = 4096, 256, 2048
@@ -135,7 +135,6 @@ def near_vectors(vectors: DataFrame, c: float = 0.95) -> DataFrame:
             yield out()
 
     got = materialize(blocks.mapInArrow(run, "a long, b long, links long"), "links")
-    forget_shuffles(spark)
     comps = components(got.filter("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
     links = got.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     per = reps.select("rep", "vec_id", "fp", "copies").join(links, "rep", "left").join(comps, "rep", "left")

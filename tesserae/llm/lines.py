@@ -3,8 +3,8 @@
 A line is dropped if an earlier line (by doc_id and line number) equals it, or is within TAU edits of it and both have
 MIN_CHARS characters or more. Distinct lines are split into TAU + 1 segments; two lines within TAU edits share one
 segment, at places that their lengths and the segment's number bound. So each line probes the segments of lines as
-long as it or up to TAU shorter with the substrings at those places. Pairs found that way must have letter counts that
-TAU edits can explain; they are then compared exactly: common prefix and suffix are cut off and a bit-parallel edit
+long as it or up to TAU shorter with the substrings at those places. Pairs found that way must have words that differ no
+more than TAU edits can explain (by a 64-bit parity sketch); they are then compared exactly: common prefix and suffix are cut off and a bit-parallel edit
 distance runs over a band of 2 * TAU + 1 diagonals.
 
 Lines are parted by \\n; lines of white space only are never dropped. Null text: null, no lines. Rows equal in id and
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
-#: Letters whose counts are compared before texts are.
-LETTERS = "eatnoirs"
 
 
 def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
@@ -51,21 +49,12 @@ def probe_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*keys)
 
 
-def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of LETTERS, each modulo 256, packed in a long."""
-    packed = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        n = (length - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * k))
-    return packed
+def word_parity(line: Column) -> Column:
+    """A bit for each of 64 word hashes: whether words of that hash (parts between spaces) are odd in number.
 
-
-def counts_apart(a: Column, b: Column) -> Column:
-    total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        d = F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255))
-        total = total + F.abs(F.pmod(d + 128, F.lit(256)) - 128)
-    return total
+    An edit changes one word (two bits at most), or parts or joins words (three at most)."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
 
 
 def within(a: str, b: str, tau: int) -> str:
@@ -101,12 +90,12 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     distinct = materialize(seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
     # keys are made where the line is read, and go on once for each distinct line
     near = lines.filter(length >= min_chars).withColumn("len", length)
-    near = near.select(F.xxhash64("line").alias("h"), letter_counts(F.col("line"), F.col("len")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
+    near = near.select(F.xxhash64("line").alias("h"), word_parity(F.col("line")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
     near = near.groupBy("h").agg(F.first("w").alias("w"), F.first("parts").alias("parts"), F.first("probes").alias("probes"))
     near = materialize(near, "keys")
     index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb"))
     probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
-    fits = (F.col("a") != F.col("b")) & (counts_apart(F.col("wa"), F.col("wb")) <= 2 * tau)
+    fits = (F.col("a") != F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 3 * tau)
     pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & fits)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))

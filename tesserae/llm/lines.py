@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
+#: Letters whose counts are compared before the band is run.
+LETTERS = "eatnoi"
 
 
 def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
@@ -49,12 +51,12 @@ def probe_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*keys)
 
 
-def word_parity(line: Column) -> Column:
-    """A bit for each of 64 word hashes: whether words of that hash (parts between spaces) are odd in number.
+def word_parity(line: str) -> str:
+    """SQL for a bit for each of 64 hashes of neighbouring words: whether pairs of that hash are odd in number.
 
-    An edit changes one word (two bits at most), or parts or joins words (three at most)."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
+    Words are the parts between spaces. An edit changes one word, so two pairs (four bits at most), or parts or
+    joins words (five at most)."""
+    return f"transform(array(split({line}, ' ')), ws -> aggregate(sequence(0, size(ws) - 1), 0L, (acc, i) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(ws[i], get(ws, i - 1)), 64) as int))))[0]"
 
 
 def within(a: str, b: str, tau: int) -> str:
@@ -74,7 +76,9 @@ def within(a: str, b: str, tau: int) -> str:
     let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
     run = let("k", f"size(p) - size(t) + {tau}", f"if(size(t) = 0, size(p) - size(t), {band})")
     run = let("p", "split(x, '')", let("t", "if(y = '', array(), split(y, ''))", run))
-    run = f"if(x = '', 0, {run})"
+    # letters that occur more often in one than tau edits explain tell most pairs apart
+    more = " + ".join(f"abs(length(replace(x, '{c}', '')) - length(replace(y, '{c}', '')) - length(x) + length(y))" for c in LETTERS)
+    run = f"if(x = '', 0, if({more} > {2 * tau}, {tau + 1}, {run}))"
     cut = let("m", prefix.format(x="reverse(v)", y="reverse(w)"), let("x", "left(v, length(v) - m)", let("y", "left(w, length(w) - m)", run)))
     cut = let("n", prefix.format(x="g", y="h"), let("v", "substr(g, n + 1)", let("w", "substr(h, n + 1)", cut)))
     return let("g", f"if(length({a}) >= length({b}), {a}, {b})", let("h", f"if(length({a}) >= length({b}), {b}, {a})", f"({cut}) <= {tau}"))
@@ -90,12 +94,12 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     distinct = materialize(seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
     # keys are made where the line is read, and go on once for each distinct line
     near = lines.filter(length >= min_chars).withColumn("len", length)
-    near = near.select(F.xxhash64("line").alias("h"), word_parity(F.col("line")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
+    near = near.select(F.xxhash64("line").alias("h"), F.expr(word_parity("line")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
     near = near.groupBy("h").agg(F.first("w").alias("w"), F.first("parts").alias("parts"), F.first("probes").alias("probes"))
     near = materialize(near, "keys")
     index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb"))
     probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
-    fits = (F.col("a") != F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 3 * tau)
+    fits = (F.col("a") != F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 5 * tau)
     pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & fits)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))

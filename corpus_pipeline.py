@@ -1,11 +1,55 @@
-"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, SentencePiece encoding."""
+"""Corpus pipeline over `documents`: quality rules, line dedup, n-gram Jaccard join, mixing, SentencePiece encoding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. Rows that repeat an id are one document to the Jaccard stage and stay or go together.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm.common import materialize, read
+from tesserae.llm.jaccard import jaccard_components
+from tesserae.llm.lines import dedup_lines
+from tesserae.llm.mixing import mixed
+from tesserae.llm.quality import keep_good
+from tesserae.llm.spm import encode_documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word sets (similarity 0.8 or more) join, the one with the smallest id stays."""
+    found = jaccard_components(docs, 5, 80, 100)
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    plan = mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("same").alias("_same"), F.col("copies").alias("_copies")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_same"))
+    return docs.join(plan, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("mixing sources", mix_sources), ("SentencePiece", sentencepiece)]
+#: Perplexity, edit distance and tokens are not for SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
     return docs

@@ -4,7 +4,7 @@ A line is dropped if an earlier line (by doc_id and line number) equals it, or i
 MIN_CHARS characters or more. Distinct lines are split into TAU + 1 segments; two lines within TAU edits share one
 segment, at places that their lengths and the segment's number bound. So each line probes the segments of lines as
 long as it or up to TAU shorter with the substrings at those places. Pairs found that way must have words that differ no
-more than TAU edits can explain (by a 64-bit parity sketch); they are then compared exactly: common prefix and suffix are cut off and a bit-parallel edit
+more than TAU edits can explain (by a sketch of word hashes and letter counts); they are then compared exactly: common prefix and suffix are cut off and a bit-parallel edit
 distance runs over a band of 2 * TAU + 1 diagonals.
 
 Lines are parted by \\n; lines of white space only are never dropped. Null text: null, no lines. Rows equal in id and
@@ -21,7 +21,7 @@ from tesserae.llm.common import lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
 #: Letters whose counts are compared before the band is run.
-LETTERS = "eatnoi"
+LETTERS, SKETCHED = "eatnoi", "eatn"
 
 
 def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
@@ -51,12 +51,25 @@ def probe_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*keys)
 
 
-def word_parity(line: str) -> str:
-    """SQL for a bit for each of 64 hashes of neighbouring words: whether pairs of that hash are odd in number.
+def sketch(line: str) -> str:
+    """SQL for a long: in its low half, for each of 32 word hashes whether words of that hash are odd in number; in
+    its high half the counts of SKETCHED letters modulo 256.
 
-    Words are the parts between spaces. An edit changes one word, so two pairs (four bits at most), or parts or
-    joins words (five at most)."""
-    return f"transform(array(split({line}, ' ')), ws -> aggregate(sequence(0, size(ws) - 1), 0L, (acc, i) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(ws[i], get(ws, i - 1)), 64) as int))))[0]"
+    Words are the parts between spaces. An edit changes one word (two bits at most), or parts or joins words (three
+    at most), and the counts of two letters by one at most."""
+    words = f"aggregate(split({line}, ' '), 0L, (acc, w) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(w), 32) as int)))"
+    counts = " | ".join(f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) & 255 as bigint), {32 + 8 * k})" for k, c in enumerate(SKETCHED))
+    return f"({words} | {counts})"
+
+
+def explained(a: Column, b: Column, tau: int) -> Column:
+    """Whether tau edits can make a line of sketch a one of sketch b."""
+    apart = F.lit(0).cast("long")
+    for k in range(len(SKETCHED)):
+        d = F.shiftrightunsigned(a, 32 + 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 32 + 8 * k).bitwiseAND(F.lit(255))
+        apart = apart + F.abs(F.pmod(d + 128, F.lit(256)) - 128)
+    words = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 32) - 1)))
+    return (words <= 3 * tau) & (apart <= 2 * tau)
 
 
 def within(a: str, b: str, tau: int) -> str:
@@ -89,21 +102,20 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), F.col("text").cast("string").alias("text"))
     lines = rows.select("doc_id", "same", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     length = F.char_length("line")
-    seen = materialize(lines.select("doc_id", "same", "pos", F.xxhash64("line").alias("h"), (F.crc32(F.col("line").cast("binary")) * 65536 + F.pmod(length, F.lit(65536))).alias("c")), "lines")
+    code = F.xxhash64("line").alias("h"), (F.crc32(F.col("line").cast("binary")) * 65536 + F.pmod(length, F.lit(65536))).alias("c")
     place = F.struct("doc_id", "same", "pos")
-    distinct = materialize(seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
-    # keys are made where the line is read, and go on once for each distinct line
-    near = lines.filter(length >= min_chars).withColumn("len", length)
-    near = near.select(F.xxhash64("line").alias("h"), F.expr(word_parity("line")).alias("w"), segment_keys(F.col("line"), F.col("len"), tau).alias("parts"), probe_keys(F.col("line"), F.col("len"), tau).alias("probes"))
-    near = near.groupBy("h").agg(F.first("w").alias("w"), F.first("parts").alias("parts"), F.first("probes").alias("probes"))
-    near = materialize(near, "keys")
+    long = length >= min_chars
+    keyed = lines.select(place.alias("place"), *code, F.when(long, F.expr(sketch("line"))).alias("w"), F.when(long, segment_keys(F.col("line"), length, tau)).alias("parts"), F.when(long, probe_keys(F.col("line"), length, tau)).alias("probes"))
+    distinct = keyed.groupBy("h", "c").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("w", "parts", "probes")])
+    distinct = materialize(distinct, "distinct")
+    near = distinct.filter("parts is not null")
     index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb"))
     probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
-    fits = (F.col("a") != F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 5 * tau)
+    fits = (F.col("a") != F.col("b")) & explained(F.col("wa"), F.col("wb"), tau)
     pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & fits)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))
-    found = distinct.join(wanted, "h").select("h", "links", "first")
+    found = distinct.select("h", "first").join(wanted, "h").select("h", "links", "first")
     by_doc = found.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.same").alias("_s")).agg(F.collect_list(F.struct("h", "links", "first")).alias("want"))  # no more than a document's lines
     texts = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("same") == F.col("_s"))).withColumn("all", F.split("text", "\n", -1))
     texts = texts.select(F.explode(F.transform("want", lambda x: F.struct(x["h"].alias("h"), x["links"].alias("links"), x["first"].alias("first"), F.get(F.col("all"), x["first"]["pos"]).alias("line")))).alias("x")).select("x.*")
@@ -112,17 +124,17 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     both = lookup(lookup(pairs, side("a"), "a", "links", F.col("b")), side("b"), "b", "links", F.col("a"))
     close = both.filter((F.abs(F.char_length("la") - F.char_length("lb")) <= tau) & F.expr(within("la", "lb", tau)))
     gone = close.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("near", F.lit(True))
-    marked = distinct.join(gone, "h", "left").filter("n > 1 or near")
-    out = lookup(seen, marked, ["h", "c"], "n", place)
+    marked = materialize(distinct.select("h", "c", "first", "n").join(gone, "h", "left").filter("n > 1 or near"), "marked")
+    out = lookup(lines.select("doc_id", "same", "pos", *code), marked, ["h", "c"], "n", place)
     exact = F.coalesce(place != F.col("first"), F.lit(False))
-    near_only = F.coalesce("near", F.lit(False)) & ~exact
-    per = out.groupBy("doc_id", "same").agg(F.size(F.collect_set(F.when(exact, F.col("pos")))).cast("long").alias("n_exact"), F.size(F.collect_set(F.when(near_only, F.col("pos")))).cast("long").alias("n_near"), F.sort_array(F.collect_set(F.when(exact | near_only, F.col("pos")))).alias("dropped"))
+    out = out.withColumn("exact", exact).filter("exact or near")
+    per = out.groupBy("doc_id", "same").agg(F.sort_array(F.collect_set(F.struct("pos", "exact"))).alias("gone"))
     # a document without lines has no row yet
-    all_docs = rows.select("doc_id", "same", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    all_docs = all_docs.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).alias("d")
-    zero = F.lit(0).cast("long")
+    all_docs = rows.select("doc_id", "same", F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     joined = all_docs.join(per.withColumnsRenamed({"doc_id": "_d", "same": "_s"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("same") == F.col("_s")), "left")
-    return joined.select("doc_id", "same", "n_lines", F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    gone = F.coalesce("gone", F.array().cast("array<struct<pos:int,exact:boolean>>"))
+    of = lambda exact: F.size(F.filter(gone, lambda x: x["exact"] == F.lit(exact))).cast("long")
+    return joined.select("doc_id", "same", "n_lines", of(True).alias("n_exact"), of(False).alias("n_near"), F.transform(gone, lambda x: x["pos"]).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:

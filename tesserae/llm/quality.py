@@ -129,8 +129,10 @@ class KneserNey:
 
 
 def fit(docs: DataFrame) -> dict[str, KneserNey]:
-    counted = count_grams(docs).orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toPandas()
-    return {lang: KneserNey(part.gram.to_numpy(np.int64).view(np.uint64), part.n.to_numpy()) for lang, part in counted.groupby("lang")}
+    counted = count_grams(docs).orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow()
+    lang = counted["lang"].combine_chunks().dictionary_encode()
+    of, gram, n = lang.indices.to_numpy(), counted["gram"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    return {name: KneserNey(gram[of == i], n[of == i]) for i, name in enumerate(lang.dictionary.to_pylist())}
 
 
 def counts(text: str) -> dict:

@@ -438,18 +438,18 @@ def corrections(spark, d, retract):
 
 
 def portion_sql(retract: bool) -> str:
-    new = "" if retract else f"UNION ALL SELECT NULL, id, '{{\"event\":\"fixed\"}}', valid_from + 1000, valid_from + 5000, shut, {FOREVER} FROM b"
-    return f"WITH b AS (SELECT ver, id, data, valid_from, valid_to, recorded_from, recorded_to, greatest(recorded_from + 1, {T2 * 2}) AS shut FROM versions WHERE {LIVE_SQL}) SELECT ver, id, data, valid_from, valid_to, recorded_from, shut AS recorded_to FROM b UNION ALL SELECT NULL, id, data, valid_from, valid_from + 1000, shut, {FOREVER} FROM b UNION ALL SELECT NULL, id, data, valid_from + 5000, valid_to, shut, {FOREVER} FROM b {new}"
+    new = "" if retract else f"UNION ALL SELECT -1, id, '{{\"event\":\"fixed\"}}', valid_from + 1000, valid_from + 5000, shut, {FOREVER} FROM b"
+    return f"WITH b AS (SELECT ver, id, data, valid_from, valid_to, recorded_from, recorded_to, greatest(recorded_from + 1, {T2 * 2}) AS shut FROM versions WHERE {LIVE_SQL}) SELECT ver, id, data, valid_from, valid_to, recorded_from, shut AS recorded_to FROM b UNION ALL SELECT -1, id, data, valid_from, valid_from + 1000, shut, {FOREVER} FROM b UNION ALL SELECT -1, id, data, valid_from + 5000, valid_to, shut, {FOREVER} FROM b {new}"
 
 
 @query(portion_sql(False))
 def portion_supersede(spark, d):
-    return write.supersede(beliefs(spark, d), corrections(spark, d, False), T2 * 2)
+    return write.supersede(beliefs(spark, d), corrections(spark, d, False), T2 * 2).fillna(-1, ["ver"])
 
 
 @query(portion_sql(True))
 def retract_interval(spark, d):
-    return write.supersede(beliefs(spark, d), corrections(spark, d, True), T2 * 2)
+    return write.supersede(beliefs(spark, d), corrections(spark, d, True), T2 * 2).fillna(-1, ["ver"])
 
 
 SUB = f"s AS (SELECT ver AS id, valid_from AS f, least(valid_to, {T2}) AS t FROM versions WHERE valid_from < {T2}), x AS (SELECT id, f, t, f + (t - f) // 4 AS a, f + (t - f) // 2 AS b FROM s)"

@@ -21,7 +21,7 @@ from tesserae.llm.common import lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
 #: Letters whose counts are compared before the band is run.
-LETTERS, SKETCHED = "eatnoi", "eatn"
+LETTERS, SKETCHED = "eatnoi", "eatnoirs"
 
 
 def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
@@ -53,12 +53,12 @@ def probe_keys(line: Column, length: Column, tau: int) -> Column:
 
 def sketch(line: str) -> str:
     """SQL for a long: in its low half, for each of 32 word hashes whether words of that hash are odd in number; in
-    its high half the counts of SKETCHED letters modulo 256.
+    its high half the counts of SKETCHED letters modulo 16.
 
     Words are the parts between spaces. An edit changes one word (two bits at most), or parts or joins words (three
     at most), and the counts of two letters by one at most."""
     words = f"aggregate(split({line}, ' '), 0L, (acc, w) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(w), 32) as int)))"
-    counts = " | ".join(f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) & 255 as bigint), {32 + 8 * k})" for k, c in enumerate(SKETCHED))
+    counts = " | ".join(f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) & 15 as bigint), {32 + 4 * k})" for k, c in enumerate(SKETCHED))
     return f"({words} | {counts})"
 
 
@@ -66,8 +66,8 @@ def explained(a: Column, b: Column, tau: int) -> Column:
     """Whether tau edits can make a line of sketch a one of sketch b."""
     apart = F.lit(0).cast("long")
     for k in range(len(SKETCHED)):
-        d = F.shiftrightunsigned(a, 32 + 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 32 + 8 * k).bitwiseAND(F.lit(255))
-        apart = apart + F.abs(F.pmod(d + 128, F.lit(256)) - 128)
+        d = F.shiftrightunsigned(a, 32 + 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 32 + 4 * k).bitwiseAND(F.lit(15))
+        apart = apart + F.abs(F.pmod(d + 8, F.lit(16)) - 8)
     words = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 32) - 1)))
     return (words <= 3 * tau) & (apart <= 2 * tau)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import uuid
 
 from tesserae.llm import secrets
 from tesserae.llm.common import shared_dir
@@ -27,7 +28,7 @@ def texts():
 def test_spans_match_brute_force(spark):
     docs = [(i, t, 0) for i, t in enumerate(texts())] + [(None, texts()[3], 1), (0, "again token=abcdef", 1)] + [(1000 + i, "password: hunter22", 0) for i in range(50)]
     df = spark.createDataFrame(docs, "doc_id long, text string, spans int").repartition(3)
-    path = f"{shared_dir(spark)}/test-ledger-a"
+    path = f"{shared_dir(spark)}/test-ledger-{uuid.uuid4().hex}"
     out = secrets.digest(secrets.scan(df, path)).collect()
     want = []
     for i, t, _ in docs:
@@ -40,7 +41,7 @@ def test_spans_match_brute_force(spark):
 
 
 def test_only_unseen_blobs_are_scanned(spark, monkeypatch):
-    path, scanned = f"{shared_dir(spark)}/test-ledger-b", []
+    path, scanned = f"{shared_dir(spark)}/test-ledger-{uuid.uuid4().hex}", []
     real = secrets.scan_texts
 
     def counting(blobs, rules):
@@ -59,4 +60,4 @@ def test_only_unseen_blobs_are_scanned(spark, monkeypatch):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert secrets.scan(df, f"{shared_dir(spark)}/test-ledger-c").collect() == []
+    assert secrets.scan(df, f"{shared_dir(spark)}/test-ledger-{uuid.uuid4().hex}").collect() == []

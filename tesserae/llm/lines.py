@@ -3,9 +3,9 @@
 A line is dropped if an earlier line (by doc_id and line number) equals it, or is within TAU edits of it and both have
 MIN_CHARS characters or more. Distinct lines are split into TAU + 1 segments; two lines within TAU edits share one
 segment, at places that their lengths and the segment's number bound. So each line probes the segments of lines as
-long as it or up to TAU shorter with the substrings at those places. Pairs found that way must have words that differ no
-more than TAU edits can explain (by a sketch of word hashes and letter counts); they are then compared exactly: common prefix and suffix are cut off and a bit-parallel edit
-distance runs over a band of 2 * TAU + 1 diagonals.
+long as it or up to TAU shorter with the substrings at those places. Pairs found that way must have letter counts that differ
+no more than TAU edits can explain; they are then compared exactly: common prefix and suffix are cut off and a
+bit-parallel edit distance runs over a band of 2 * TAU + 1 diagonals.
 
 Lines are parted by \\n; lines of white space only are never dropped. Null text: null, no lines. Rows equal in id and
 text are one document. Null ids stand first. Other columns are kept by dedup_lines(); where all lines go, so does the
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
-#: Letters whose counts are compared before the band is run.
-LETTERS, SKETCHED = "eatnoi", "eatn"
+#: Letters whose counts are compared before texts are fetched: the sixteen most frequent ones of English.
+LETTERS = "etaoinshrdlcumwf"
 
 
 def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
@@ -31,15 +31,15 @@ def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
     return (base * (i - 1) + F.greatest(F.lit(0), more - (m - i + 1)) + 1), base + (F.lit(m - i) < more).cast("int")
 
 
-def segment_keys(line: Column, length: Column, tau: int) -> Column:
+def segment_keys(chars: Column, length: Column, tau: int) -> Column:
     keys = []
     for i in range(1, tau + 2):
         start, size = segment(i, length, tau)
-        keys.append(F.xxhash64(F.lit(i), length, F.substring(line, start, size)))
+        keys.append(F.xxhash64(F.lit(i), length, part(chars, start, size)))
     return F.array(*keys)
 
 
-def probe_keys(line: Column, length: Column, tau: int) -> Column:
+def probe_keys(chars: Column, length: Column, tau: int) -> Column:
     """Keys of the substrings that can be segment i of a line shorter by 0 to tau."""
     keys = []
     for delta in range(tau + 1):
@@ -47,29 +47,35 @@ def probe_keys(line: Column, length: Column, tau: int) -> Column:
         for i in range(1, tau + 2):
             start, size = segment(i, other, tau)
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
-                keys.append(F.xxhash64(F.lit(i), other, F.substring(line, start + shift, size)))
+                keys.append(F.xxhash64(F.lit(i), other, part(chars, start + shift, size)))
     return F.array(*keys)
 
 
-def sketch(line: str) -> str:
-    """SQL for a long: in its low half, for each of 32 word hashes whether words of that hash are odd in number; in
-    its high half the counts of SKETCHED letters modulo 256.
+def part(chars: Column, start: Column, size: Column) -> Column:
+    """Characters start (from 1) to start + size of a line in UTF-32, where places are found without a scan."""
+    return F.substring(chars, start * 4 - 3, size * 4)
 
-    Words are the parts between spaces. An edit changes one word (two bits at most), or parts or joins words (three
-    at most), and the counts of two letters by one at most."""
-    words = f"aggregate(split({line}, ' '), 0L, (acc, w) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(w), 32) as int)))"
-    counts = " | ".join(f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) & 255 as bigint), {32 + 8 * k})" for k, c in enumerate(SKETCHED))
-    return f"({words} | {counts})"
+
+def sketched(lines: DataFrame, text: Column) -> DataFrame:
+    """lines with w, a long: the counts of LETTERS in the text, each modulo 16; null for null.
+
+    An edit changes the counts of two letters by one at most. Letters counted are taken out before the next is, each in
+    a projection of its own, so that a letter is removed once and later passes read shorter texts."""
+    kept = lines.columns
+    out = lines.withColumn("_rest0", text)
+    for k, c in enumerate(LETTERS):
+        out = out.withColumn(f"_rest{k + 1}", F.replace(f"_rest{k}", F.lit(c), F.lit("")))
+    counts = [f"shiftleft(cast((octet_length(_rest{k}) - octet_length(_rest{k + 1})) & 15 as bigint), {4 * k})" for k in range(len(LETTERS))]
+    return out.select(*kept, F.expr(" | ".join(counts)).alias("w"))
 
 
 def explained(a: Column, b: Column, tau: int) -> Column:
     """Whether tau edits can make a line of sketch a one of sketch b."""
     apart = F.lit(0).cast("long")
-    for k in range(len(SKETCHED)):
-        d = F.shiftrightunsigned(a, 32 + 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 32 + 8 * k).bitwiseAND(F.lit(255))
-        apart = apart + F.abs(F.pmod(d + 128, F.lit(256)) - 128)
-    words = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 32) - 1)))
-    return (words <= 3 * tau) & (apart <= 2 * tau)
+    for k in range(len(LETTERS)):
+        d = (F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
+        apart = apart + F.least(d, F.lit(16) - d)
+    return apart <= 2 * tau
 
 
 def within(a: str, b: str, tau: int) -> str:
@@ -84,14 +90,13 @@ def within(a: str, b: str, tau: int) -> str:
       named_struct('d', (((((x.e & x.p) + x.p) ^ x.p) | x.e | x.n) & {full}), 'p', x.p, 'n', x.n))"""
     step = f"transform({step}, x -> named_struct('d', x.d, 'hp', ((shiftleft((x.n | ~(x.d | x.p)), 1) | 1) & {full}), 'hn', (shiftleft((x.d & x.p), 1) & {full})))"
     step = f"transform({step}, x -> named_struct('vp', ((x.hn | ~(x.d | x.hp)) & {full}), 'vn', (x.hp & x.d), 'score', s.score + 1 - (shiftright(x.d, k) & 1)))[0]"
-    band = f"""aggregate(sequence(1, size(t)), named_struct('vp', {vp}, 'vn', {vn}, 'score', size(p) - size(t)), (s, j) -> {step}).score"""
+    band = f"""aggregate(sequence(1, size(t)), named_struct('vp', {vp}, 'vn', {vn}, 'score', size(p) - size(t)), (s, j) -> if(s.score > {tau}, s, {step})).score"""
+    # the score never falls along its diagonal, so that past tau nothing more is to be done
     # names: x, y trimmed texts, the longer first; p, t their characters; k the diagonal of the last cell
     let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
     run = let("k", f"size(p) - size(t) + {tau}", f"if(size(t) = 0, size(p) - size(t), {band})")
     run = let("p", "split(x, '')", let("t", "if(y = '', array(), split(y, ''))", run))
-    # letters that occur more often in one than tau edits explain tell most pairs apart
-    more = " + ".join(f"abs(length(replace(x, '{c}', '')) - length(replace(y, '{c}', '')) - length(x) + length(y))" for c in LETTERS)
-    run = f"if(x = '', 0, if({more} > {2 * tau}, {tau + 1}, {run}))"
+    run = f"if(x = '', 0, {run})"
     cut = let("m", prefix.format(x="reverse(v)", y="reverse(w)"), let("x", "left(v, length(v) - m)", let("y", "left(w, length(w) - m)", run)))
     cut = let("n", prefix.format(x="g", y="h"), let("v", "substr(g, n + 1)", let("w", "substr(h, n + 1)", cut)))
     return let("g", f"if(length({a}) >= length({b}), {a}, {b})", let("h", f"if(length({a}) >= length({b}), {b}, {a})", f"({cut}) <= {tau}"))
@@ -104,8 +109,11 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     length = F.char_length("line")
     code = F.xxhash64("line").alias("h"), (F.crc32(F.col("line").cast("binary")) * 65536 + F.pmod(length, F.lit(65536))).alias("c")
     place = F.struct("doc_id", "same", "pos")
-    long = length >= min_chars
-    keyed = lines.select(place.alias("place"), *code, F.when(long, F.expr(sketch("line"))).alias("w"), F.when(long, segment_keys(F.col("line"), length, tau)).alias("parts"), F.when(long, probe_keys(F.col("line"), length, tau)).alias("probes"))
+    # u and its size are columns of their own, so that they are made once a line and not once a key
+    coded = lines.select(place.alias("place"), *code, F.when(length >= min_chars, F.encode("line", "UTF-32")).alias("u"), F.when(length >= min_chars, F.col("line")).alias("line"))
+    coded = sketched(coded, F.col("line")).withColumn("size", (F.octet_length("u") / 4).cast("int"))
+    long = F.col("u").isNotNull()
+    keyed = coded.select("place", "h", "c", "w", *[F.when(long, make(F.col("u"), F.col("size"), tau)).alias(x) for x, make in (("parts", segment_keys), ("probes", probe_keys))])
     distinct = keyed.groupBy("h", "c").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("w", "parts", "probes")])
     distinct = materialize(distinct, "distinct")
     near = distinct.filter("parts is not null")

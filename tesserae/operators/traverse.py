@@ -53,6 +53,37 @@ def shortest_costs(src: str, adj: DataFrame, weighted: bool = True, max_rounds:
     return best
 
 
+def shortest_path(src: str, dst: str, adj: DataFrame, weighted: bool = True) -> tuple[list[str], float] | None:
+    """The nodes of a cheapest path and its cost, None if there is none; of equal predecessors the smallest.
+
+    Each round keeps a node's cost and predecessor; nodes that already cost as much as dst are not expanded.
+    """
+    if src == dst:
+        return [src], 0.0
+    spark = adj.sparkSession
+    w = F.col("weight").cast("double") if weighted else F.lit(1.0)
+    hop = persisted(adj.select("a", "b", w.alias("w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+    best = front = spark.createDataFrame([(src, 0.0, None)], "id string, cost double, prev string")
+    while True:
+        tried = front.join(hop, front.id == hop.a).groupBy(F.col("b").alias("id")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("a").alias("prev"))).alias("new"))
+        better = tried.join(best.select("id", "cost"), "id", "left").filter("cost is null or new.cost < cost")
+        front = persisted(better.select("id", "new.cost", "new.prev"))
+        if front.isEmpty():
+            break
+        best = persisted(best.unionAll(front).groupBy("id").agg(F.min_by(F.struct("cost", "prev"), "cost").alias("m")).select("id", "m.cost", "m.prev"))
+        found = best.filter(F.col("id") == dst).first()
+        if found:
+            front = front.filter(F.col("cost") < found.cost)
+    found = best.filter(F.col("id") == dst).first()
+    if found is None:
+        return None
+    path, at = [dst], found
+    while at.prev is not None:
+        path.append(at.prev)
+        at = best.filter(F.col("id") == at.prev).first()
+    return path[::-1], found.cost
+
+
 def reachable(seeds: DataFrame, adj: DataFrame) -> DataFrame:
     """Ids reached from the seeds, the seeds with them."""
     hop = adj.select("a", "b").distinct()

@@ -1,7 +1,7 @@
 import pytest
 
 from tesserae.model import FOREVER, TimeSlice
-from tesserae.operators import access, algorithms, hybrid, ingest, pattern, scan, temporal, text, traverse, vector, write
+from tesserae.operators import access, algorithms, hybrid, ingest, pattern, scan, temporal, text, traverse, upcast, vector, write
 from tesserae.sources import snapshots
 
 V = "ver long, id string, data string, valid_from long, valid_to long, recorded_from long, recorded_to long"
@@ -119,3 +119,34 @@ def test_snapshots_conflict(spark, tmp_path):
     with pytest.raises(snapshots.SnapshotConflict):
         snapshots.commit(spark, root, {"t": ids(spark, "c")}, 1)
     assert [r.id for r in snapshots.read(spark, root, "t").collect()] == ["b"] and [r.id for r in snapshots.read(spark, root, "t", 1).collect()] == ["a"]
+
+
+def test_shortest_path_nodes(spark):
+    e = edges(spark, [("0", "1", 4), ("0", "2", 1), ("2", "1", 1), ("1", "3", 1), ("2", "3", 5), ("3", "4", 3), ("4", "5", 2), ("2", "5", 12), ("5", "6", 1), ("3", "6", 10), ("8", "9", 0), ("9", "8", 0)])
+    adj = e.selectExpr("src a", "dst b", "weight")
+    assert traverse.shortest_path("0", "6", adj) == (["0", "2", "1", "3", "4", "5", "6"], 9.0)
+    assert traverse.shortest_path("0", "6", adj, weighted=False) == (["0", "1", "3", "6"], 3.0)
+    assert traverse.shortest_path("8", "8", adj) == (["8"], 0.0) and traverse.shortest_path("8", "9", adj) == (["8", "9"], 0.0)
+    assert traverse.shortest_path("6", "0", adj) is None and traverse.shortest_path("none", "0", adj) is None
+
+
+def test_upcasting(spark):
+    from pyspark.sql import functions as F
+
+    named = lambda s: F.struct(s["first"].alias("name"), F.lit(0).alias("age"))
+    older = lambda s: F.struct(s["name"].alias("name"), (s["age"] + 1).alias("age"), F.lit("x").alias("tag"))
+    chains = {"p": upcast.Chain(("first string", "name string, age int", "name string, age int, tag string"), (named, older))}
+    rows = [("a", "p", '{"first":"A"}'), ("b", "p", '{"name":"B","age":4,"_v":2}'), ("c", "p", '{"name":"C","age":5,"tag":"t","_v":3}'), ("d", "q", '{"z":1}'), ("e", "p", None), ("f", "p", '{"first":"F","_v":"2"}')]
+    v = spark.createDataFrame([(n, i, t, d, 10, FOREVER, 10, FOREVER) for n, (i, t, d) in enumerate(rows)], "ver long, id string, type string, data string, valid_from long, valid_to long, recorded_from long, recorded_to long")
+    read = {r.id: r.data for r in upcast.upcast(v, chains).collect()}
+    assert read == {"a": '{"name":"A","age":1,"tag":"x"}', "b": '{"name":"B","age":5,"tag":"x"}', "c": '{"name":"C","age":5,"tag":"t"}', "d": '{"z":1}', "e": None, "f": '{"name":"F","age":1,"tag":"x"}'}
+    assert [(r.type, r.current, r.live, r.behind) for r in upcast.upcast_report(v, chains).collect()] == [("p", 3, 5, 4)]
+    held = v.filter("data is not null")
+    after = write.supersede(held, upcast.upcast_writes(held, chains), 1000)
+    live = {r.id: (r.data, r.valid_from) for r in temporal.at(after).collect()}
+    assert live["a"] == ('{"name":"A","age":1,"tag":"x","_v":3}', 10) and live["d"][0] == '{"z":1}' and upcast.upcast_writes(after, chains).isEmpty()
+    assert {r.data for r in temporal.at(after, None, 500).filter("id = 'a'").collect()} == {'{"first":"A"}'}
+    with pytest.raises(Exception, match="newer than 3"):
+        upcast.upcast(spark.createDataFrame([("p", '{"_v":4}')], "type string, data string"), chains).collect()
+    with pytest.raises(ValueError):
+        upcast.Chain(("a int", "b int"))

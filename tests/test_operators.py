@@ -1,7 +1,7 @@
 import pytest
 
 from tesserae.model import FOREVER, TimeSlice
-from tesserae.operators import access, algorithms, hybrid, ingest, pattern, scan, temporal, text, traverse, upcast, vector, write
+from tesserae.operators import access, algorithms, embed, hybrid, ingest, pattern, scan, temporal, text, traverse, upcast, vector, write
 from tesserae.sources import snapshots
 
 V = "ver long, id string, data string, valid_from long, valid_to long, recorded_from long, recorded_to long"
@@ -150,3 +150,24 @@ def test_upcasting(spark):
         upcast.upcast(spark.createDataFrame([("p", '{"_v":4}')], "type string, data string"), chains).collect()
     with pytest.raises(ValueError):
         upcast.Chain(("a int", "b int"))
+
+
+def test_embedding_report_and_reembedding(spark):
+    def width(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    nodes = spark.createDataFrame([("a", "one two three four"), ("b", "same"), ("c", " "), ("d", None)], "id string, text string")
+    none = spark.createDataFrame([], embed.VECTORS)
+    report = lambda v, m: tuple(embed.embedding_report(nodes, v, m).first())
+    assert report(none, "m") == (4, 0, 2, 0, 0)
+    first = embed.reembed(nodes, none, "m", width, 2, size=9)
+    got = sorted((r.id, r.chunk, r.text, r.emb[0]) for r in first.collect())
+    assert [g[:2] for g in got if g[0] == "b"] == [("b", 0)] and all(len(t) == n for _, _, t, n in got) and {g[0] for g in got} == {"a", "b"}
+    held = spark.createDataFrame(first.collect(), embed.VECTORS)
+    assert report(held, "m") == (4, 2, 0, 0, len(got)) and report(held, "other") == (4, 2, 0, 2, len(got))
+    nodes = spark.createDataFrame([("a", "new"), ("b", "same")], "id string, text string")
+    gone = held.unionByName(spark.createDataFrame([("z", 0, "old", [1.0, 1.0], "h")], embed.VECTORS))
+    again = embed.reembed(nodes, gone, "m", lambda texts: [[0.0, 0.0] for _ in texts], 2)
+    assert sorted((r.id, r.text, r.emb) for r in again.collect()) == [("a", "new", [0.0, 0.0]), ("b", "same", [4.0, 1.0])]
+    with pytest.raises(Exception, match="width 3"):
+        embed.reembed(nodes, none, "m", width, 3).collect()

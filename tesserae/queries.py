@@ -207,8 +207,12 @@ def users(spark, d):
 
 
 def morning(spark, d):
-    """A small temporal graph: links of the first day."""
-    return project(spark, d, "links").filter(F.col("valid_from") < 1704067200000 + 21_600_000).withColumn("rel", F.lit("next"))
+    """A small temporal graph for queries whose SQL goes by paths: links of the first six hours. Their *_all read every link."""
+    return all_links(spark, d).filter(F.col("valid_from") < 1704067200000 + 21_600_000)
+
+
+def all_links(spark, d):
+    return project(spark, d, "links").withColumn("rel", F.lit("next"))
 
 
 DAY = "l AS (SELECT * FROM links WHERE valid_from < 1704088800000)"
@@ -216,7 +220,16 @@ DAY = "l AS (SELECT * FROM links WHERE valid_from < 1704088800000)"
 
 @query(f"WITH {DAY}, p AS (SELECT DISTINCT src AS u FROM l), r AS (SELECT u AS s, u AS x, [u] AS path, 0 AS depth FROM p UNION ALL SELECT s, dst, list_append(path, dst), depth + 1 FROM r JOIN l ON l.src = r.x WHERE depth < 3 AND NOT list_contains(path, dst)) SELECT s AS a, x AS b, depth FROM r WHERE depth >= 1")
 def match_var_1_3(spark, d):
-    links = morning(spark, d).withColumn("valid_to", F.lit(FOREVER).cast("long"))
+    return paths_1_3(morning(spark, d))
+
+
+@query()
+def match_var_1_3_all(spark, d):
+    return paths_1_3(all_links(spark, d))
+
+
+def paths_1_3(links):
+    links = links.withColumn("valid_to", F.lit(FOREVER).cast("long"))
     ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     people = ids.select("id", F.lit("user").alias("type"), F.lit("{}").alias("data"), *[F.lit(x).cast("long").alias(c) for c, x in (("valid_from", 0), ("valid_to", FOREVER), ("recorded_from", 0), ("recorded_to", FOREVER))])
     return pattern.Pattern(people, links).node("a").hops("next", 1, 3).node("b").to_dataframe()
@@ -251,16 +264,31 @@ def journey_users(spark, d):
     return traverse.journey("u:3", 1704067200000, morning(spark, d), 4)
 
 
+@query()
+def journey_users_all(spark, d):
+    return traverse.journey("u:3", 1704067200000, all_links(spark, d), 4)
+
+
 @query(f"WITH {DAY}, j(id, cost, hops) AS (SELECT 'u:3', CAST(0 AS DOUBLE), 0 UNION SELECT dst, cost + weight, hops + 1 FROM j JOIN l ON src = id WHERE hops < 5 AND cost < 60) SELECT id, min(cost) AS cost FROM j GROUP BY id")
 def shortest_bounded(spark, d):
     return traverse.shortest_costs("u:3", pattern.adjacency(morning(spark, d)), True, 5)
 
 
+@query()
+def shortest_bounded_all(spark, d):
+    return traverse.shortest_costs("u:3", pattern.adjacency(all_links(spark, d)), True, 5)
+
+
 @query(f"WITH {DAY}, j(id, hops) AS (SELECT 'u:3', 0 UNION SELECT dst, hops + 1 FROM j JOIN l ON src = id WHERE hops < 150) SELECT id, min(hops)::DOUBLE AS cost FROM j GROUP BY id")
 def shortest_hops(spark, d):
     return traverse.shortest_costs("u:3", pattern.adjacency(morning(spark, d)), False)
 
 
+@query()
+def shortest_hops_all(spark, d):
+    return traverse.shortest_costs("u:3", pattern.adjacency(all_links(spark, d)), False)
+
+
 @query("WITH r(id) AS (SELECT 'p:1' UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.id WHERE e.rel IN ('supplied_by', 'in_nation', 'in_region')) SELECT id FROM r")
 def reachable_closure(spark, d):
     return traverse.reachable(seeds(spark, "p:1"), pattern.adjacency(edges_of(spark, d, "supplied_by", "in_nation", "in_region")))
@@ -297,14 +325,12 @@ def degree_in_out(spark, d):
 
 @query()
 def community_users(spark, d):
-    links = morning(spark, d)
-    return algorithms.community(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct(), links)
+    return algorithms.community(*people(spark, d))
 
 
 @query()
 def betweenness_users(spark, d):
-    links = morning(spark, d)
-    return algorithms.betweenness(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct(), links)
+    return algorithms.betweenness(*people(spark, d))
 
 
 @query("WITH t AS (SELECT DISTINCT 'c:' || o_custkey AS id, 'p:' || l_partkey AS tag FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT count(DISTINCT id) AS n FROM t), f AS (SELECT tag, count(*) AS df FROM t GROUP BY tag) SELECT t.id, round(sum(ln(n.n::DOUBLE / df)), 6) AS score FROM t JOIN f USING (tag) CROSS JOIN n WHERE tag IN (SELECT tag FROM t WHERE id = 'c:7') AND t.id <> 'c:7' GROUP BY t.id ORDER BY score DESC, t.id LIMIT 10")

@@ -4,8 +4,9 @@ The model is one of character ORDER-grams for each language. Spark counts the gr
 (at most MAX_GRAMS grams, the most frequent ones; the rest back off to lower orders) make interpolated modified
 Kneser-Ney probabilities, kept as sorted arrays of packed grams beside their log probabilities. A document's score is
 the mean negative log probability of its characters (log perplexity). Each language has a lower and an upper band, median
--/+ WIDTH robust deviations of the documents that pass the plain rules; documents outside are rejected. Languages with
-fewer than MIN_DOCS such documents have no band.
+-/+ WIDTH robust deviations of the documents that pass the plain rules; documents outside are rejected. The mean of few
+characters varies more, so deviations are taken in units of sqrt(1 / STEADY + 1 / characters), and are LEAST at least.
+Languages with fewer than MIN_DOCS such documents have no band.
 
 Plain rules: fewer than 50 words, or more than half the words in 3-word windows that occur twice or more in the text.
 Null or empty text: counts are 0 and it fails. Null language is a language of its own. Rows that repeat an id are judged
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import map_rows, materialize, read
 
 ORDER, MAX_GRAMS, CHUNK = 4, 4_000_000, 4_000_000
-MIN_WORDS, MAX_REPEAT, WIDTH, MIN_DOCS = 50, 50, 12.0, 30
+MIN_WORDS, MAX_REPEAT, WIDTH, MIN_DOCS = 50, 50, 4.0, 30
+STEADY, LEAST = 2000, 0.2
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
 FLOOR = 1e-9
@@ -172,17 +174,18 @@ def scored(docs: DataFrame, models: dict[str, KneserNey] | None = None) -> DataF
             failed = x["n_words"] < MIN_WORDS or 100 * x["n_repeat_words"] > MAX_REPEAT * x["n_words"]
             model = shared.value.get(r["lang"])
             ppl = float(-model.logs(grams(text)).mean(dtype=np.float64)) if text and model else None
-            yield {"doc_id": r["doc_id"], "same": r["same"], "lang": r["lang"], **x, "base_failed": failed, "log_ppl": ppl}
+            yield {"doc_id": r["doc_id"], "same": r["same"], "lang": r["lang"], **x, "base_failed": failed, "log_ppl": ppl, "n_chars": len(text)}
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    table = materialize(map_rows(slim, run, "doc_id long, same long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"), "scores")
+    table = materialize(map_rows(slim, run, "doc_id long, same long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double, n_chars long"), "scores")
     good = table.filter("not base_failed and log_ppl is not null")
     mid = good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"), F.count("*").alias("n"))
-    dev = good.join(F.broadcast(mid), "lang").groupBy("lang", "mid", "n").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 10_000).alias("dev"))
+    off = F.abs(F.col("log_ppl") - F.col("mid")) / F.sqrt(1 / F.lit(STEADY) + 1 / F.col("n_chars"))
+    dev = good.join(F.broadcast(mid), "lang").groupBy("lang", "mid", "n").agg(F.percentile_approx(off, 0.5, 10_000).alias("dev"))
     # one row a language that has a model, so no more than MAX_GRAMS and in practice a few
-    bands = dev.filter(F.col("n") >= MIN_DOCS).select("lang", (F.col("mid") - WIDTH * 1.4826 * F.col("dev") - 0.05).alias("low"), (F.col("mid") + WIDTH * 1.4826 * F.col("dev") + 0.05).alias("high"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return table.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("low", "high")
+    bands = dev.filter(F.col("n") >= MIN_DOCS).select("lang", "mid", (WIDTH * F.greatest(1.4826 * F.col("dev"), F.lit(LEAST))).alias("most"))
+    inside = F.coalesce(off <= F.col("most"), F.lit(True))
+    return table.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("mid", "most")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -54,5 +54,14 @@ def test_rejects_other_text_and_keeps_prose(spark):
     assert {x.doc_id for x in kept} == set(range(120)) | {505} and len(kept) == 121 and kept[0].kept == 1
 
 
+def test_bands_reject_ordinary_words_with_symbols_between(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice(["ba", "ne", "ti", "sor", "lu"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    text = lambda n, gap="": " ".join(r.choice(words) + gap * (k % 6 == 0) for k in range(n))
+    docs = [(i, text(r.randint(60, 600)), "en") for i in range(200)] + [(1000 + i, text(r.randint(200, 300), gap), "en") for i, gap in enumerate([" |", "###"] * 3)]
+    kept = {x.doc_id for x in quality.scored(spark.createDataFrame(docs, "doc_id long, text string, lang string")).filter("kept").collect()}
+    assert max(kept) < 1000 and len(kept) >= 196
+
+
 def test_empty(spark):
     assert quality.scored(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []

@@ -1,9 +1,10 @@
 """Quality rules with n-gram perplexity from a modified Kneser-Ney model.
 
-The model is one of character ORDER-grams for each language. Spark counts the grams of every document; the counts
-(at most MAX_GRAMS grams, the most frequent ones; the rest back off to lower orders) make interpolated modified
-Kneser-Ney probabilities, kept as sorted arrays of packed grams beside their log probabilities. A document's score is
-the mean negative log probability of its characters (log perplexity). Each language has a lower and an upper band, median
+The model is one of character ORDER-grams for each language. Spark counts the grams of every document; joins over all
+counts make interpolated modified Kneser-Ney probabilities. They are cut by ranges of (language, gram) into shards of
+about SHARD grams or fewer, and each shard is sent as sorted arrays to a pass over the documents of its languages, so no
+process holds more than a shard and no gram is left out. A document's score is the mean negative log probability of its
+characters (log perplexity); all its grams are in the model. Each language has a lower and an upper band, median
 -/+ WIDTH robust deviations of the documents that pass the plain rules; documents outside are rejected. The mean of few
 characters varies more, so deviations are taken in units of sqrt(1 / STEADY + 1 / characters), and are LEAST at least.
 Languages with fewer than MIN_DOCS such documents have no band.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import map_rows, materialize, read
 
-ORDER, MAX_GRAMS, CHUNK = 4, 4_000_000, 4_000_000
+ORDER, SHARD, CHUNK = 4, 4_000_000, 4_000_000
 MIN_WORDS, MAX_REPEAT, WIDTH, MIN_DOCS = 50, 50, 4.0, 30
 STEADY, LEAST = 2000, 0.2
 SYMBOLS = b"#*$%&|<>"
@@ -71,7 +72,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over packed grams with counts."""
+    """Interpolated modified Kneser-Ney over packed grams with counts, in one process; probabilities() has the same by joins."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(keys)
@@ -130,11 +131,61 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame) -> dict[str, KneserNey]:
-    counted = count_grams(docs).orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow()
-    lang = counted["lang"].combine_chunks().dictionary_encode()
-    of, gram, n = lang.indices.to_numpy(), counted["gram"].to_numpy().view(np.uint64), counted["n"].to_numpy()
-    return {name: KneserNey(gram[of == i], n[of == i]) for i, name in enumerate(lang.dictionary.to_pylist())}
+def probabilities(docs: DataFrame) -> DataFrame:
+    """(lang, gram, logp) of every gram of docs, as KneserNey has it."""
+    levels = [materialize(count_grams(docs), "grams")]
+    for m in range(ORDER - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * m) - 1)).alias("gram")
+        levels.insert(0, materialize(levels[0].groupBy("lang", suffix).agg(F.count("*").alias("n")), "grams"))
+    lower = None
+    for m, level in enumerate(levels, 1):
+        n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        clip = lambda x, top, other: F.when((n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0), F.least(F.greatest(x, F.lit(0.1)), F.lit(top))).otherwise(other)
+        d = level.groupBy("lang").agg(F.count("*").alias("v"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        d = d.select("lang", "v", clip(1 - 2 * y * n2 / n1, 0.95, 0.5).alias("d1"), clip(2 - 3 * y * n3 / n2, 1.9, 0.75).alias("d2"), clip(3 - 4 * y * n4 / n3, 2.9, 0.9).alias("d3"))
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        # one row a language
+        row = level.join(F.broadcast(d), "lang").select("lang", "gram", "n", "v", cut.alias("cut"), F.shiftrightunsigned("gram", 16).alias("ctx"))
+        row = row.join(row.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("spare")), ["lang", "ctx"])
+        if lower is None:
+            below = 1 / (F.col("v") + 1)
+        else:
+            row = row.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (m - 1)) - 1))).join(lower, ["lang", "suffix"])
+            below = F.col("below")
+        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("spare") / F.col("total") * below
+        lower = row.select("lang", F.col("gram").alias("suffix"), p.alias("below"))
+    return lower.select("lang", F.col("suffix").alias("gram"), F.log(F.greatest("below", F.lit(FLOOR))).cast("float").alias("logp"))
+
+
+def sharded(model: DataFrame) -> tuple[DataFrame, list]:
+    """The model with the shard of each gram, and (shard, low, high) of the languages in each shard."""
+    model = materialize(model, "model")
+    parts = -(-2 * n // SHARD) if (n := model.count()) > SHARD else 1  # the bounds of ranges are estimates
+    if parts > 1:
+        model = materialize(model.repartitionByRange(parts, "lang", "gram").withColumn("shard", F.spark_partition_id()), "model")
+    else:
+        model = model.withColumn("shard", F.lit(0))
+    return model, model.groupBy("shard").agg(F.min("lang"), F.max("lang")).orderBy("shard").collect()
+
+
+def arrays(shard: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By language: sorted grams, log probabilities."""
+    t = shard.select("lang", "gram", "logp").toArrow()
+    lang = t["lang"].combine_chunks().dictionary_encode()
+    of, gram, logp = lang.indices.to_numpy(), t["gram"].to_numpy().view(np.uint64), t["logp"].to_numpy()
+    order = np.lexsort((gram, of))
+    ends = np.searchsorted(of[order], np.arange(len(lang.dictionary) + 1))
+    return {name: (gram[order[a:b]], logp[order[a:b]]) for name, a, b in zip(lang.dictionary.to_pylist(), ends[:-1], ends[1:], strict=True)}
+
+
+def log_sum(text: str, known: tuple[np.ndarray, np.ndarray] | None) -> float:
+    """Sum of the log probabilities of the text's grams that are among the known ones."""
+    if not text or known is None:
+        return 0.0
+    g, (k, p) = grams(text), known
+    at = np.minimum(np.searchsorted(k, g), len(k) - 1)
+    return float(p[at][k[at] == g].sum(dtype=np.float64))
 
 
 def counts(text: str) -> dict:
@@ -162,32 +213,56 @@ def counts(text: str) -> dict:
     return {"n_words": len(words), "word_chars": len(text) - sum(map(b.count, (SPACE[i : i + 1] for i in range(6)))), "n_symbols": sum(map(b.count, (SYMBOLS[i : i + 1] for i in range(len(SYMBOLS))))), "n_dup_lines": lines, "n_repeat_words": repeat}
 
 
-def scored(docs: DataFrame, models: dict[str, KneserNey] | None = None) -> DataFrame:
+def scored(docs: DataFrame) -> DataFrame:
     """doc_id, same (hash of the text), the plain counts, base_failed, log_ppl, kept."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models if models is not None else fit(docs))
+    context = docs.sparkSession.sparkContext
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    model, shards = sharded(probabilities(docs))
+    shared = context.broadcast(arrays(model.filter(F.col("shard") == shards[0].shard)) if shards else {})
 
     def run(rows: Iterator[dict]) -> Iterator[dict]:
         for r in rows:
             text = r["text"] or ""
             x = counts(text)
             failed = x["n_words"] < MIN_WORDS or 100 * x["n_repeat_words"] > MAX_REPEAT * x["n_words"]
-            model = shared.value.get(r["lang"])
-            ppl = float(-model.logs(grams(text)).mean(dtype=np.float64)) if text and model else None
-            yield {"doc_id": r["doc_id"], "same": r["same"], "lang": r["lang"], **x, "base_failed": failed, "log_ppl": ppl, "n_chars": len(text)}
+            yield {"doc_id": r["doc_id"], "same": r["same"], "lang": r["lang"], **x, "base_failed": failed, "log_sum": log_sum(text, shared.value.get(r["lang"])), "n_chars": len(text)}
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    table = materialize(map_rows(slim, run, "doc_id long, same long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double, n_chars long"), "scores")
+    table = materialize(map_rows(slim, run, "doc_id long, same long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_sum double, n_chars long"), "scores")
+    shared.destroy()
+    if len(shards) > 1:
+        table = with_rest(table, slim, model, shards[1:])
+    table = table.withColumn("log_ppl", F.when(F.col("n_chars") > 0, -F.col("log_sum") / F.col("n_chars"))).drop("log_sum")
     good = table.filter("not base_failed and log_ppl is not null")
     mid = good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"), F.count("*").alias("n"))
     off = F.abs(F.col("log_ppl") - F.col("mid")) / F.sqrt(1 / F.lit(STEADY) + 1 / F.col("n_chars"))
     dev = good.join(F.broadcast(mid), "lang").groupBy("lang", "mid", "n").agg(F.percentile_approx(off, 0.5, 10_000).alias("dev"))
-    # one row a language that has a model, so no more than MAX_GRAMS and in practice a few
+    # one row a language
     bands = dev.filter(F.col("n") >= MIN_DOCS).select("lang", "mid", (WIDTH * F.greatest(1.4826 * F.col("dev"), F.lit(LEAST))).alias("most"))
     inside = F.coalesce(off <= F.col("most"), F.lit(True))
     return table.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("mid", "most")
 
 
+def with_rest(table: DataFrame, slim: DataFrame, model: DataFrame, shards: list) -> DataFrame:
+    """table with the sums of the other shards added, one pass over the documents of its languages for each shard."""
+    keys, sums = ["doc_id", "same", "lang"], None
+    for shard, low, high in shards:
+        shared = slim.sparkSession.sparkContext.broadcast(arrays(model.filter(F.col("shard") == shard)))
+
+        def run(rows: Iterator[dict], shared=shared) -> Iterator[dict]:
+            for r in rows:
+                yield {"doc_id": r["doc_id"], "same": r["same"], "lang": r["lang"], "more": log_sum(r["text"] or "", shared.value.get(r["lang"]))}
+
+        # rows that repeat an id and a text have one sum
+        part = map_rows(slim.filter(F.col("lang").between(low, high)), run, "doc_id long, same long, lang string, more double").groupBy(*keys).agg(F.max("more").alias("more"))
+        part = materialize(part, "scores")
+        shared.destroy()
+        sums = part if sums is None else sums.unionByName(part)
+    more = sums.groupBy(*keys).agg(F.sum("more").alias("_more")).select(*[F.col(c).alias(f"_{c}") for c in keys], "_more")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("same") == F.col("_same")) & (F.col("lang") == F.col("_lang"))
+    joined = table.join(more, same, "left").withColumn("log_sum", F.col("log_sum") + F.coalesce("_more", F.lit(0.0)))
+    return materialize(joined.select(*table.columns), "scores")
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that the rules keep."""
     s = scored(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()

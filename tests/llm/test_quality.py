@@ -63,5 +63,20 @@ def test_bands_reject_ordinary_words_with_symbols_between(spark):
     assert max(kept) < 1000 and len(kept) >= 196
 
 
+def test_every_gram_counts_however_small_the_shards(spark, monkeypatch):
+    r = random.Random(7)
+    docs = [(i // 2, "".join(r.choice("abcdefgh 漢字é𝒳") for _ in range(r.randint(1, 400))), r.choice(["en", "zh", None])) for i in range(60)] + [(None, "a text", "en")] * 2 + [(99, "", "en")]
+    for name in ("MAX_GRAMS", "SHARD"):
+        monkeypatch.setattr(quality, name, 700, raising=False)
+    want = []
+    for lang in ("en", "zh", None):
+        g = [quality.grams(t) for _, t, x in docs if x == lang and t]
+        m = quality.KneserNey(*np.unique(np.concatenate(g), return_counts=True))
+        want += [(i or -1, float(-m.logs(quality.grams(t)).mean(dtype=np.float64))) for i, t, x in docs if x == lang and t]
+    got = [(x.doc_id or -1, x.log_ppl) for x in quality.scored(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)).collect() if x.log_ppl is not None]
+    assert [x[0] for x in sorted(got)] == [x[0] for x in sorted(want)]
+    assert np.allclose([x[1] for x in sorted(got)], [x[1] for x in sorted(want)], atol=1e-5)
+
+
 def test_empty(spark):
     assert quality.scored(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []

@@ -7,7 +7,8 @@ process holds more than a shard and no gram is left out. A document's score is t
 characters (log perplexity); all its grams are in the model. Each language has a lower and an upper band, median
 -/+ WIDTH robust deviations of the documents that pass the plain rules; documents outside are rejected. The mean of few
 characters varies more, so deviations are taken in units of sqrt(1 / STEADY + 1 / characters), and are LEAST at least.
-Languages with fewer than MIN_DOCS such documents have no band.
+A language's deviation is its own and that of all languages (about their own medians), weighted by its documents and by
+MIN_DOCS, so that every language with a document past the plain rules has a band.
 
 Plain rules: fewer than 50 words, or more than half the words in 3-word windows that occur twice or more in the text.
 Null or empty text: counts are 0 and it fails. Null language is a language of its own. Rows that repeat an id are judged
@@ -235,9 +236,11 @@ def scored(docs: DataFrame) -> DataFrame:
     good = table.filter("not base_failed and log_ppl is not null")
     mid = good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"), F.count("*").alias("n"))
     off = F.abs(F.col("log_ppl") - F.col("mid")) / F.sqrt(1 / F.lit(STEADY) + 1 / F.col("n_chars"))
-    dev = good.join(F.broadcast(mid), "lang").groupBy("lang", "mid", "n").agg(F.percentile_approx(off, 0.5, 10_000).alias("dev"))
-    # one row a language
-    bands = dev.filter(F.col("n") >= MIN_DOCS).select("lang", "mid", (WIDTH * F.greatest(1.4826 * F.col("dev"), F.lit(LEAST))).alias("most"))
+    apart = good.join(F.broadcast(mid), "lang").select("lang", "mid", "n", off.alias("off"))
+    median = lambda t: t.agg(F.percentile_approx("off", 0.5, 10_000).alias("dev"))
+    dev = median(apart.groupBy("lang", "mid", "n")).crossJoin(F.broadcast(median(apart).withColumnRenamed("dev", "pool")))  # one row
+    dev = dev.withColumn("dev", (F.col("n") * F.col("dev") + MIN_DOCS * F.col("pool")) / (F.col("n") + MIN_DOCS))
+    bands = dev.select("lang", "mid", (WIDTH * F.greatest(1.4826 * F.col("dev"), F.lit(LEAST))).alias("most"))
     inside = F.coalesce(off <= F.col("most"), F.lit(True))
     return table.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("mid", "most")
 

@@ -63,6 +63,16 @@ def test_bands_reject_ordinary_words_with_symbols_between(spark):
     assert max(kept) < 1000 and len(kept) >= 196
 
 
+def test_a_rare_language_has_a_band(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice(["ba", "ne", "ti", "sor", "lu"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    junk = " ".join("".join(r.choice("xqzjk#%7") for _ in range(5)) for _ in range(100))
+    docs = [(i, text(200), "en") for i in range(60)] + [(100 + i, text(200), "rare") for i in range(10)] + [(200, junk, "rare"), (300, text(60), "lone")]
+    kept = {x.doc_id for x in quality.scored(spark.createDataFrame(docs, "doc_id long, text string, lang string")).filter("kept").collect()}
+    assert 200 not in kept and 300 in kept and kept >= set(range(100, 110))
+
+
 def test_every_gram_counts_however_small_the_shards(spark, monkeypatch):
     r = random.Random(7)
     docs = [(i // 2, "".join(r.choice("abcdefgh 漢字é𝒳") for _ in range(r.randint(1, 400))), r.choice(["en", "zh", None])) for i in range(60)] + [(None, "a text", "en")] * 2 + [(99, "", "en")]

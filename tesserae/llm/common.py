@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of a looked-up table that are broadcast: its keys with the most rows. A bound by construction.
@@ -66,6 +67,40 @@ def lookup(big: DataFrame, small: DataFrame, key: str | list[str], count: str, s
     return out.select(*[F.col(c) for c in big.columns], *[F.col(f"_found.{c}").alias(c) for c in values])
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with, by new name, the sum of a column over all rows before a row in that order (exact for whole numbers).
+
+    Rows are dealt by ranges and written; one sum for each range comes to the driver; a window runs in each range.
+    Rows equal in order fall into one range: give an order that tells rows apart where many may be equal."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    names = list(sums)
+    totals = ranged.groupBy("_range").agg(*[F.sum(sums[n]).alias(n) for n in names]).collect()  # a row for each range
+    before: list = [0.0 if ranged.schema[sums[n]].dataType.typeName() == "double" else 0 for n in names]
+    rows = []
+    for r in sorted(totals, key=lambda r: r["_range"]):
+        rows.append((r["_range"], *before))
+        before = [b + r[n] for b, n in zip(before, names, strict=True)]
+    kinds = {n: "double" if ranged.schema[sums[n]].dataType.typeName() == "double" else "long" for n in names}
+    starts = spark.createDataFrame(rows, "_range int, " + ", ".join(f"_at_{n} {kinds[n]}" for n in names))
+    w = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), "_range")
+    for n in names:
+        out = out.withColumn(n, F.col(f"_at_{n}") + F.coalesce(F.sum(sums[n]).over(w), F.lit(0)))
+    return out.drop("_range", *[f"_at_{n}" for n in names])
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with rows of equal keys (not null) numbered from 0, however many they are: each task numbers its own."""
+    rows = materialize(df.withColumn("_task", F.spark_partition_id()).withColumn("_serial", F.monotonically_increasing_id()), "rows")
+    tasks = rows.groupBy(*keys, "_task").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    tasks = tasks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy(*keys, "_task").orderBy("_serial")) - 1
+    return rows.withColumn("_own", own).join(tasks, [*keys, "_task"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_task", "_serial", "_own", "_before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for every id in edges (a long, b long): the smallest id that links reach.
 

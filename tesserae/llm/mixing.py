@@ -4,23 +4,25 @@ Sources, by code point with null last, have weights that repeat from a list. A b
 poured by weight; a source is clamped at max_epochs times its size and its excess goes to the others by weight until
 none is above. Of each source every document is taken floor(target / size) times, and the rest of the target is
 met by documents taken once more in the order of a seeded hash, up to the document that crosses the target if that
-comes nearer. The order's threshold is found from sizes by hash bucket; only the bucket it falls in is sorted.
+comes nearer. The order's threshold is found from sizes by hash bucket; only the bucket it falls in is sorted. Sources
+stay in Spark, however many they are: the water's level is found by running sums over them.
 
 Size: number of words [^\\x20\\x09-\\x0D]+ (null text: 0). Rows that repeat an id share their hash and are told apart by
-their size and text; equal rows are taken alike. Documents without words take 0. Empty table: no rows.
+their size and text; rows equal in id, source and text are one group, of which the target may part some from others.
+Documents without words take 0. Empty table: no rows. Other columns, whatever their names, are kept by mix().
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialize, read
+from tesserae.llm.common import lookup, materialize, numbered, read, running
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix-1"
-#: Hash buckets of a source. Sources at most: their sizes come to the driver.
-BUCKETS, MAX_SOURCES = 4096, 100_000
+#: Hash buckets of a source. Equal rows that one task makes at once.
+BUCKETS, RUN = 4096, 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -45,41 +47,82 @@ def water_fill(sizes: list[float], weights: list[float], total: float, epochs: f
     return targets
 
 
+def with_targets(sources: DataFrame, weights: tuple, share: float, epochs: float) -> DataFrame:
+    """sources (source, s: size, documents) with target: the same as water_fill, by running sums, for any number of sources."""
+    ranked = running(sources.withColumn("null", F.col("source").isNull()).withColumn("one", F.lit(1)), ["null", "source"], {"rank": "one"})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = ranked.select("source", "s", "documents", "null", weight.alias("w"), (F.col("s") / weight).alias("full")).withColumn("cap", epochs * F.col("s"))
+    # those with the smallest caps for their weights are full first
+    order = running(ranked, ["full", "null", "source"], {"caps": "cap", "ws": "w", "k": "documents"})
+    order = materialize(order, "order")
+    sums = order.agg(F.sum("s").alias("s"), F.sum("w").alias("w")).first()
+    total = min(share * (sums.s or 0), epochs * (sums.s or 0))
+    per = (F.lit(float(total)) - F.col("caps")) / (F.lit(float(sums.w or 0)) - F.col("ws"))
+    level = order.filter(per * F.col("w") < F.col("cap")).agg(F.min_by(per, F.struct("full", "null", "source")).alias("level")).first().level
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    return order.select("source", F.col("s").alias("source_size"), "documents", target.alias("target"))
+
+
 def plan(docs: DataFrame, size: Column, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The columns of docs with size, source_size, target, copies."""
-    spark = docs.sparkSession
+    """A row for each (doc_id, source, same, size): its n equal rows, source_size, target, and how often they are taken:
+    `more` of them whole + 1 times, the others whole times. same: the text's hash."""
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
-    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("same"), size.alias("size"), key.alias("u")), "sizes")
-    by_source = slim.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found = sorted(by_source, key=lambda r: (r.source is None, r.source or ""))
-    sizes = [float(r.s) for r in found]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), epochs)
-    rows = []
-    for r, t in zip(found, targets, strict=True):
-        whole = int(t // r.s) if r.s else 0
-        rows.append((r.source, int(r.s), float(t), whole, int(round(t - whole * r.s))))
-    table = F.broadcast(spark.createDataFrame(rows, "source string, source_size long, target double, whole int, more long"))
-    d = slim.alias("d").join(table.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "whole", "more")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("same"), size.alias("size"), key.alias("u"))
+    groups = materialize(rows.groupBy("doc_id", "source", "same", "size", "u").agg(F.count("*").alias("n")), "sizes")
+    sources = materialize(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.count("*").alias("documents")), "sources")
+    t = with_targets(sources, weights, share, epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    t = t.withColumn("whole", whole).withColumn("extra", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    t = t.select(*named_source(F.col("source")), "documents", F.col("documents").alias("of"), "source_size", "target", "whole", "extra")
+    d = groups.select(*groups.columns, *named_source(F.col("source")))
+    d = materialize(lookup(d, t, ["_s", "_null"], "documents", F.struct("doc_id", "same")), "targets")
     d = d.withColumn("bucket", F.shiftrightunsigned("u", 48 - BUCKETS.bit_length() + 1))
     # of each source, the bucket in which the running size meets what is to be taken once more
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("b"), F.first("more").alias("more"))
-    run = sums.withColumn("before", F.sum("b").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
-    run = run.withColumn("before", F.coalesce("before", F.lit(0))).filter((F.col("before") < F.col("more")) & (F.col("before") + F.col("b") >= F.col("more")))
-    cut = F.broadcast(run.select(F.col("source").alias("cs"), F.col("bucket").alias("cb"), "before"))
-    d = d.join(cut, F.col("source").eqNullSafe(F.col("cs")), "left")
-    edge = d.filter(F.col("bucket") == F.col("cb"))
-    order = W.partitionBy("cs", "bucket").orderBy("u", "doc_id", "size", "same").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("end", F.col("before") + F.sum("size").over(order))
-    edge = edge.withColumn("extra", (F.col("end") - F.col("more") <= F.col("more") - (F.col("end") - F.col("size"))).cast("int"))
-    rest = d.filter(~F.coalesce(F.col("bucket") == F.col("cb"), F.lit(False))).withColumn("extra", F.coalesce((F.col("bucket") < F.col("cb")).cast("int"), F.lit(0)))
-    cols = ["doc_id", "source", "same", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")]
+    sums = d.groupBy("_s", "_null", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.first("extra").alias("extra"), F.first("of").alias("documents"))
+    run = sums.withColumn("before", F.sum("b").over(W.partitionBy("_s", "_null").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
+    run = run.withColumn("before", F.coalesce("before", F.lit(0))).filter((F.col("before") < F.col("extra")) & (F.col("before") + F.col("b") >= F.col("extra")))
+    d = lookup(d.drop("of"), run.select("_s", "_null", F.col("bucket").alias("cut"), "before", "documents"), ["_s", "_null"], "documents", F.struct("doc_id", "same"))
+    at_cut = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    order = W.partitionBy("_s", "_null").orderBy("u", "doc_id", "size", "same").rowsBetween(W.unboundedPreceding, -1)
+    edge = d.filter(at_cut).withColumn("left", F.col("extra") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
+    # the j-th equal row crosses the target and comes nearer by it if 2 * j * size - size <= 2 * left
+    taken = F.when(F.col("size") > 0, F.floor((2 * F.col("left") + F.col("size")) / (2 * F.col("size")))).otherwise(F.when(F.col("left") >= 0, F.col("n")).otherwise(F.lit(0)))
+    edge = edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("n"), taken)).cast("long"))
+    rest = d.filter(~at_cut).withColumn("more", F.when(F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)), F.col("n")).otherwise(F.lit(0)).cast("long"))
+    cols = ["doc_id", "source", "same", "size", "n", "source_size", "target", "whole", "more"]
     return edge.select(*cols).unionByName(rest.select(*cols))
 
 
+def named_source(c: Column) -> list[Column]:
+    """A source as two columns without nulls."""
+    return [F.coalesce(c, F.lit("")).alias("_s"), c.isNull().alias("_null")]
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    return plan(docs, word_count(F.col("text")))
+    """doc_id, source, same, size, source_size, target, copies for every row of docs."""
+    p = plan(docs, word_count(F.col("text")))
+    many = p.filter(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))).repartition("doc_id", "run")
+    some = p.filter(F.col("n") <= RUN).withColumn("run", F.lit(0).cast("long")).unionByName(many)
+    first = F.col("run") * RUN
+    some = some.withColumn("j", F.explode(F.sequence(first, F.least(F.col("n"), first + RUN) - 1)))
+    return some.select("doc_id", "source", "same", "size", "source_size", "target", (F.col("whole") + (F.col("j") < F.col("more")).cast("long")).alias("copies"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it. Of rows equal in id, source and text it does not
+    matter which are taken once more."""
+    p = materialize(plan(docs, word_count(F.col("text"))).filter("whole > 0 or more > 0"), "plan")
+    keys = ["_id", "_noid", "_s", "_null", "_same"]
+    of = lambda i, s, h: [F.coalesce(i, F.lit(0).cast("long")).alias("_id"), i.isNull().alias("_noid"), *named_source(s), h.alias("_same")]
+    p = p.select(*of(F.col("doc_id"), F.col("source"), F.col("same")), "n", F.col("n").alias("equal"), "whole", "more")
+    d = docs.select(F.struct(*docs.columns).alias("_row"), *of(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text")), F.monotonically_increasing_id().alias("_at"))
+    alike = p.filter("more = 0 or more = equal").select(*keys, "n", (F.col("whole") + (F.col("more") > 0).cast("long")).alias("copies"))
+    alike = lookup(d, alike, keys, "n", F.col("_at")).filter("copies > 0").select("_row", "copies")
+    # equal rows that the target parts: one group a source at most
+    parted = numbered(d.drop("_at").join(p.filter("more > 0 and more < equal").drop("n"), keys), keys, "j")
+    parted = parted.select("_row", (F.col("whole") + (F.col("j") < F.col("more")).cast("long")).alias("copies")).filter("copies > 0")
+    out = alike.unionByName(parted)
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,41 @@ def test_targets_are_met(spark):
 
 def test_empty(spark):
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, source string, text string, size int")).collect() == []
+
+
+def test_targets_of_many_sources_match_water_fill(spark):
+    r = random.Random(9)
+    for sizes in ([r.randint(0, 50) for _ in range(60)], [0, 0, 7], [5]):
+        names = sorted([f"s{i:02d}é" if i % 7 == 0 else f"s{i:02d}" for i in range(len(sizes) - 1)]) + [None]
+        df = spark.createDataFrame([(n, s, 1) for n, s in zip(names, sizes)], "source string, s long, documents long")
+        want = mixing.water_fill([float(s) for s in sizes], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), 2.0)
+        got = {x.source: x.target for x in mixing.with_targets(df, mixing.WEIGHTS, mixing.SHARE, mixing.MAX_EPOCHS).collect()}
+        assert all(abs(got[n] - t) < 1e-6 for n, t in zip(names, want, strict=True)), (sizes, got, want)
+
+
+def test_equal_rows_at_the_edge(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 3)
+    ten = "w " * 10
+    for n in (2, 3, 8):
+        df = spark.createDataFrame([(7, "a", ten, i, "r") for i in range(n)], "doc_id long, source string, text string, _id int, _row string").repartition(3)
+        out = mixing.mixed(df).collect()
+        assert len(out) == n and abs(sum(x.copies for x in out) * 10 - 15 * n) <= 5 and all(0 <= x.copies <= 2 for x in out)
+        rows = mixing.mix(df)
+        assert rows.columns == df.columns
+        got = [x._id for x in rows.collect()]
+        assert abs(len(got) * 10 - 15 * n) <= 5 and set(got) == set(range(n)) and max(map(got.count, got)) <= 2
+
+
+def test_mix_takes_rows_as_planned(spark):
+    r = random.Random(12)
+    docs = [(r.choice([None, 1, 2, i]), r.choice(["a", "b", None]), r.choice([None, "", "x y", "w " * r.randint(1, 30)])) for i in range(300)]
+    docs.append((900, "a", "long " * 300_000))
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(4)
+    plan = {}
+    for x in mixing.mixed(df).collect():
+        plan[x.doc_id, x.source, x.size] = plan.get((x.doc_id, x.source, x.size), 0) + x.copies
+    got = {}
+    for x in mixing.mix(df).collect():
+        k = (x.doc_id, x.source, len((x.text or "").split()))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in plan.items() if n}

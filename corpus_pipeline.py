@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import materialize, read
 from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.lines import dedup_lines
-from tesserae.llm.mixing import mixed
+from tesserae.llm.mixing import mix
 from tesserae.llm.quality import keep_good
 from tesserae.llm.spm import encode_documents
 
@@ -32,9 +32,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    plan = mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("same").alias("_same"), F.col("copies").alias("_copies")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_same"))
-    return docs.join(plan, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return mix(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,17 +5,19 @@ stay side by side. The law is `bytes`: shards are cut where the running size pas
 group of at most 1/TOLERANCE of a shard is not cut, a larger one may be. Running sizes come from a range partitioning
 (large groups spread by doc_id), one sum a partition, and a window in each partition.
 
-Size: UTF-8 bytes of the text (null: none) plus 1. Null metadata stand before all values. Rows that repeat an id are
+A dimension of strings is quantised by the rank of the whole value among the distinct ones, sizes by their quantiles.
+
+Size: UTF-8 bytes of the text (null: none) plus 1. Null metadata stand with the first values. Rows that repeat an id are
 rows of their own. Null texts are a group apart from empty ones. Empty table: no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import lookup, materialize, read
+from tesserae.llm.common import lookup, materialize, read, running
 
 SHARDS, BITS, TOLERANCE = 16, 4, 50
 
@@ -48,30 +50,34 @@ def hilbert(levels: tuple[int, ...], bits: int) -> int:
     return place
 
 
-def as_number(c: Column) -> Column:
-    """Order-preserving number of a string's first six bytes; -1 for null."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(F.encode(c.cast("string"), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def levels(groups: DataFrame, c: str, side: int) -> DataFrame:
+    """(c, n, level): each value's place among the distinct values, in side steps; n groups have it. Null is not among them."""
+    values = groups.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    ranked = materialize(running(values, [c], {"rank": "one"}), "levels")
+    return ranked.join(F.broadcast(ranked.agg(F.count("*").alias("of"))), how="cross").select(c, "n", F.floor(F.col("rank") * side / F.col("of")).cast("int").alias("level"))  # of: one row
 
 
 def shard_documents(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang"), shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve. The text's length is a dimension besides dims."""
-    spark = docs.sparkSession
+    spark, side = docs.sparkSession, 1 << bits
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    meta = [as_number(F.col(c)).alias(f"m{i}") for i, c in enumerate(dims)] + [size.cast("double").alias(f"m{len(dims)}")]
-    names = [f"m{i}" for i in range(len(dims) + 1)]
+    names = [f"m{i}" for i in range(len(dims))]
     crc = F.crc32(text.cast("binary"))
     fp = F.concat_ws(":", F.hex(F.xxhash64(text)), crc, size, F.col("text").isNull())
-    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("crc"), fp.alias("fp"), *meta), "slim")
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    stats = slim.agg(F.sum("size").alias("total"), *[F.percentile_approx(m, steps, 2000).alias(m) for m in names]).first()
+    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("crc"), fp.alias("fp"), *[F.col(c).cast("string").alias(m) for c, m in zip(dims, names, strict=True)]), "slim")
+    stats = slim.agg(F.sum("size").alias("total"), F.percentile_approx("size", [i / side for i in range(1, side)], 2000).alias("steps")).first()
     total = stats.total or 1
     tolerance = total // (shards * TOLERANCE)
-    level = [sum(((F.col(f"first.{m}") > F.lit(b)).cast("int") for b in sorted(set(stats[m] or []))), F.lit(0)) for m in names]
-    cell = sum((lv * (1 << bits * i) for i, lv in enumerate(level)), F.lit(0))
-    side = 1 << bits
-    curve = [(c, hilbert(tuple(c // side**i % side for i in range(len(names))), bits)) for c in range(side ** len(names))]
-    groups = slim.groupBy("fp").agg(F.count("*").alias("copies"), F.sum("size").alias("bytes"), F.min(F.struct("doc_id", *names)).alias("first"))
+    groups = slim.groupBy("fp").agg(F.count("*").alias("copies"), F.sum("size").alias("bytes"), F.min(F.struct("doc_id", *names, "size")).alias("first"))
+    groups = materialize(groups.select("fp", "copies", "bytes", *[F.col(f"first.{m}").alias(m) for m in names], F.col("first.size").alias("one")), "groups")
+    cell = sum(((F.col("one") > F.lit(b)).cast("int") for b in sorted(set(stats.steps or []))), F.lit(0)) * side ** len(names)
+    for i, m in enumerate(names):
+        groups = lookup(groups, levels(groups, m, side), m, "n", F.col("fp"))
+        cell = cell + F.coalesce(F.col("level"), F.lit(0)) * side**i
+        groups = groups.withColumn("cell", cell).drop("level")
+        cell = F.col("cell")
+    curve = [(c, hilbert(tuple(c // side**i % side for i in range(len(names) + 1)), bits)) for c in range(side ** (len(names) + 1))]
     groups = groups.withColumn("cell", cell).join(F.broadcast(spark.createDataFrame(curve, "cell int, curve int")), "cell").select("fp", "copies", "bytes", "curve")
     rows = lookup(slim.select("doc_id", "size", "crc", "fp"), groups, "fp", "copies", F.col("doc_id"))
     rows = rows.withColumn("spread", F.when(F.col("bytes") > tolerance, F.coalesce("doc_id", F.lit(-1))))

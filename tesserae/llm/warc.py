@@ -26,6 +26,7 @@ from tesserae.llm.common import lookup, map_rows, materialize, read
 
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES, DICT_SAMPLES, SAMPLE_BYTES = 16_384, 200, 8_192
+LEAST_PIECE = 1024
 #: Fixed values of the format.
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 DATE = "1970-01-01T00:00:00Z"
@@ -86,7 +87,7 @@ def frames(content: bytes) -> Iterator[bytes]:
         if raw[:4] == FRAME:
             raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         dictionary, at = zstandard.ZstdCompressionDict(raw), 8 + size
-    unpack = zstandard.ZstdDecompressor(dict_data=dictionary)
+    unpack, view = zstandard.ZstdDecompressor(dict_data=dictionary), memoryview(content)
     while at < len(content):
         kind = struct.unpack_from("<I", content, at)[0] if at + 8 <= len(content) else None
         if kind is not None and 0x184D2A50 <= kind <= 0x184D2A5F:
@@ -94,14 +95,18 @@ def frames(content: bytes) -> Iterator[bytes]:
             continue
         if content[at : at + 4] != FRAME:
             raise BadRecord(f"no frame at {at}")
-        one = unpack.decompressobj()
-        try:
-            data = one.decompress(content[at:] if len(content) - at < 1 << 16 else memoryview(content)[at:])
-        except zstandard.ZstdError as e:
-            raise BadRecord(str(e)) from e
-        if not one.eof:
-            raise BadRecord("the last frame is cut off")
-        at = len(content) - len(one.unused_data)
+        # fed by pieces of doubling size, so that what is read past a frame's end is no longer than the frame
+        one, out, piece = unpack.decompressobj(), [], LEAST_PIECE
+        while not one.eof:
+            if at >= len(content):
+                raise BadRecord("the last frame is cut off")
+            try:
+                out.append(one.decompress(view[at : at + piece]))
+            except zstandard.ZstdError as e:
+                raise BadRecord(str(e)) from e
+            at, piece = min(at + piece, len(content)), 2 * piece
+        at -= len(one.unused_data)
+        data = b"".join(out)
         yield data
 
 

@@ -57,3 +57,35 @@ def test_dictionary_frame_and_damage():
     for bad in (one.replace(b"abc", b"abd"), one[:-1], one.replace(b"WARC/1.1", b"WARX/1.1"), one.replace(b"WARC-Date", b"X-Date"), one.replace(b"Content-Length: 3", b"Content-Length: 4")):
         with pytest.raises(warc.BadRecord):
             warc.parse(bad)
+
+
+def test_reading_is_linear_in_the_records():
+    """Bytes handed to the decompressor stay below three times the archive's size plus a piece a record."""
+    records = [warc.record(i, "http://x/", b"p%d" % i * (1 + i % 50), None) for i in range(3000)] + [warc.record(-1, "u", bytes(range(256)) * 40_000, None)]
+    data = warc.archive(records)
+    fed = []
+
+    class Counting:
+        def __init__(self, real):
+            self.real = real
+
+        def decompressobj(self):
+            one = self.real.decompressobj()
+
+            class Fed:
+                eof = property(lambda s: one.eof)
+                unused_data = property(lambda s: one.unused_data)
+
+                def decompress(self, piece):
+                    fed.append(len(piece))
+                    return one.decompress(piece)
+
+            return Fed()
+
+    real = zstandard.ZstdDecompressor
+    zstandard.ZstdDecompressor = lambda *a, **k: Counting(real(*a, **k))
+    try:
+        assert list(warc.frames(data)) == records
+    finally:
+        zstandard.ZstdDecompressor = real
+    assert sum(fed) <= 3 * len(data) + warc.LEAST_PIECE * len(records)

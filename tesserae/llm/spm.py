@@ -80,6 +80,8 @@ class Model:
             raise NotImplementedError("only unigram and BPE models")
         if any(t == USER_DEFINED for _, _, t in self.pieces):
             raise NotImplementedError("user-defined pieces")
+        if self.kind == 1 and not self.escape:
+            raise NotImplementedError("unigram models without the marker for spaces")
         self.unk = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         usable = [p for p, _, t in self.pieces if t == NORMAL]
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in usable)
@@ -90,8 +92,11 @@ class Model:
         from tokenizers import Tokenizer, models
 
         if self.kind == 1:
-            vocab = [(p, s) for p, s, _ in self.pieces]
-            return Tokenizer(models.Unigram(vocab, unk_id=self.unk, byte_fallback=self.byte_fallback))
+            # only ordinary pieces are words: the others stand under names with a space, which no marked text holds,
+            # and with a score that leaves the lowest one as it is; bytes of unknown characters are put in by Codec
+            least = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0)
+            vocab = [(p, s) if t == NORMAL else (f" {i}", least) for i, (p, s, t) in enumerate(self.pieces)]
+            return Tokenizer(models.Unigram(vocab, unk_id=self.unk, byte_fallback=False))
         ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
         plain = {p for p, _, t in self.pieces if t == NORMAL}
         merges = []
@@ -120,6 +125,8 @@ class Codec:
         self.cache: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
+        by_value = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.model.pieces) if t == BYTE}
+        self.byte_ids = by_value if self.model.kind == 1 and self.model.byte_fallback and len(by_value) == 256 else {}
         parts = ("\n|" if self.model.by_line else "") + f"{MARK}*[^{MARK}" + ("\n" if self.model.by_line else "") + f"]+|{MARK}+"
         self.split = re.compile(parts).findall if self.model.by_word else lambda s: [s]
         self.sp = None
@@ -128,7 +135,7 @@ class Codec:
 
             self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
             # ids of a segment stand behind those of a newline, which no piece crosses
-            self.lead = "\n" if self.model.by_line and self.model.by_word and not self.norm else None
+            self.lead = "\n" if self.model.by_line and self.model.by_word and self.model.byte_fallback and not self.norm else None
             self.skip = len(self.sp.encode(self.lead)) if self.lead else 0
 
     def segments(self, text: str) -> list[str]:
@@ -147,6 +154,10 @@ class Codec:
         for lo in range(0, len(new), LEARN):
             part = new[lo : lo + LEARN]
             ids = [e.ids for e in encode(part, add_special_tokens=False)]
+            if self.byte_ids:
+                odd = [k for k, i in enumerate(ids) if self.model.unk in i]
+                for k, e in zip(odd, self.tok.encode_batch([part[k] for k in odd], add_special_tokens=False), strict=True):
+                    ids[k] = self.with_bytes(part[k], e)
             if self.sp and self.lead:
                 said = self.sp.encode([self.lead + s.replace(MARK, " ") for s in part], num_threads=2)
                 self.differ.update(s for s, a, b in zip(part, ids, said, strict=True) if a != b[self.skip :])
@@ -154,6 +165,13 @@ class Codec:
         if collects:
             gc.enable()
 
+    def with_bytes(self, segment: str, e) -> list[int]:
+        """Ids of an encoding with the bytes of the characters that are no piece."""
+        out: list[int] = []
+        for i, (start, end) in zip(e.ids, e.offsets, strict=True):
+            out += [self.byte_ids[b] for b in segment[start:end].encode("utf-8", "surrogatepass")] if i == self.model.unk else [i]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool] | None]:
         """Ids, and whether the reference library agrees, for each text."""
         cut = [None if t is None else self.segments(t) for t in texts]
@@ -170,6 +188,9 @@ class Codec:
                 out.append(None)
                 continue
             ids = np.frombuffer(b"".join(map(self.cache.__getitem__, c)), np.int32)
+            if not self.model.byte_fallback and len(ids):  # unknown characters in a row are one, across segments too
+                unk = ids == self.model.unk
+                ids = ids[~np.append(False, unk[1:] & unk[:-1])]
             same = self.differ.isdisjoint(c) if self.differ else True
             if self.sp and not self.lead:
                 same = ids.tolist() == self.sp.encode(t)

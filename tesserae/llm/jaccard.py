@@ -1,14 +1,18 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Documents with the same shingle set are one class. Classes fall into groups of likely similar ones (same two
-smallest shingle hashes and size band). The matrix has a row
-for each (token, group): the union of the prefix tokens of the group's members with their size range. Prefixes
-are overlong(n) tokens longer than a first shared token needs; so a query that meets fewer than 1 + overlong rows
-of a group that fit its size can have no partner in it. For the groups left, |query & union of the group's whole
-sets| >= threshold * |query| is asked before the group is opened, and only in opened groups are members
-compared, exactly, in blocks of at most BLOCK. Tokens found in many documents stand
-last in the global order that prefixes follow, so that common passages make no candidates. Any order gives the
-same links; which tokens count as common only sets the cost.
+Documents with the same shingle set are one class. Classes fall into groups of likely similar ones (same two smallest
+shingle hashes and size band), large groups into blocks of about BLOCK. Candidates come from prefixes: a row for each
+(token, group) holds that some member has the token in its prefix, with the members' size range. Prefixes are
+overlong(n) tokens longer than a first shared token needs; so a query that meets fewer rows of a group than
+needed() can have no partner in it. The token-group matrix then has, for each block that is asked, the union of its
+members' whole sets, as the first 16 or 32 bits of their hashes: a query whose tokens in the union are fewer than
+threshold * |query| can have no partner there, and the block is not opened for it. No text is read up to here.
+
+Opened blocks compare whole sets, exactly. First, each block is opened for its own members and for one query of every
+other block that asks; documents that links join by then are one component, and a block whose members are all in the
+component of the query that asks is not opened again. So a group of near copies costs its blocks' pairs, not its
+documents'. Tokens found in many documents stand last in the global order that prefixes follow, so that common
+passages make no candidates; the most common are split over tasks. Any order gives the same links.
 
 Nulls, empty texts: an empty set, linked with nothing. Null ids: never linked, component_id null. Rows that
 repeat an id are one node with the links of all its texts. Other columns of the input are ignored.
@@ -20,12 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Forest, WordHashes, components, lookup, map_rows, materialize, mix, read, shingle_hashes, signed
 
-BLOCK, QUERIES = 128, 1024
+BLOCK, QUERIES = 128, 256
+#: Sets of more tokens are held in the matrix by 32 bits a token, others by 16.
+NARROW = 2048
+#: Queries that meet at one token, at most (by the token's count): more are dealt over several tasks.
+SPLIT = 50_000
 #: Common tokens told to the tasks, at most; a token is common from COMMON sightings on.
 MAX_COMMON, COMMON = 200_000, 20
 CHUNK_TOKENS = 4_000_000
@@ -39,8 +47,19 @@ def overlong(n: int) -> int:
     return 1 + n // 50
 
 
-def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that many documents share, at most MAX_COMMON.
+def needed(n: int | Column, num: int, den: int) -> Column:
+    """Rows of a group that a query of n tokens meets if it has a partner there, whose overlap is threshold * n at least."""
+    least = F.ceil(n * num / den).cast("long")
+    return F.least(least, 2 + F.floor(least / 50))
+
+
+def narrow(u: np.ndarray) -> bytes:
+    """The first bits of sorted hashes, sorted."""
+    return (u >> np.uint64(48)).astype(np.uint16).tobytes() if len(u) <= NARROW else (u >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Sorted hashes of shingles that many documents share, at most MAX_COMMON; and how many tasks those of more than SPLIT documents take.
 
     Each task counts documents in chunks and passes on what it sees twice or more in a chunk."""
 
@@ -64,11 +83,11 @@ def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
     seen = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     top = seen.orderBy(F.desc("n"), "token").limit(MAX_COMMON).collect()
-    return np.sort(np.array([r.token for r in top], np.int64).view(np.uint64))
+    return np.sort(np.array([r.token for r in top], np.int64).view(np.uint64)), [(r.token, -(-r.n // SPLIT)) for r in top if r.n > SPLIT]
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), fp (of the set), g (likely group), probe (prefix tokens), n_index (how many of them index)."""
+    """doc_id, n (set size), fp (of the set), g (likely group), probe (prefix tokens), n_index (how many of them index), bits (the whole set, narrow)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(rows: Iterator[dict]) -> Iterator[dict]:
@@ -77,7 +96,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
             u = shingle_hashes(r["text"], k, cache)
             n = len(u)
             if not n:
-                yield {"doc_id": r["doc_id"], "n": 0, "fp": None, "g": None, "probe": None, "n_index": 0}
+                yield {"doc_id": r["doc_id"], "n": 0, "fp": None, "g": None, "probe": None, "n_index": 0, "bits": None}
                 continue
             more = 1 + overlong(n)
             probe, index = n - ceil_div(num * n, den) + more, n - ceil_div(2 * num * n, num + den) + more
@@ -90,9 +109,9 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
             band = int(np.log(n) / np.log(den / num)) if num < den else n
             raw = u.tobytes()
             a, b = mix(len(raw), *_digest(raw)), mix(*_digest(raw[::-1]))
-            yield {"doc_id": r["doc_id"], "n": n, "fp": a.to_bytes(8, "big") + b.to_bytes(8, "big"), "g": signed(mix(u[0], u[min(1, n - 1)], band)), "probe": p.view(np.int64), "n_index": index}
+            yield {"doc_id": r["doc_id"], "n": n, "fp": a.to_bytes(8, "big") + b.to_bytes(8, "big"), "g": signed(mix(u[0], u[min(1, n - 1)], band)), "probe": p.view(np.int64), "n_index": index, "bits": narrow(u)}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, fp binary, g long, probe array<long>, n_index int", 1024)
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, fp binary, g long, probe array<long>, n_index int, bits binary", 1024)
 
 
 def _digest(raw: bytes) -> tuple[int, int]:
@@ -115,9 +134,13 @@ def links_in(rows: list[dict], k: int, num: int, den: int, cache: WordHashes) ->
     union, start, count = np.unique(tokens[order], return_index=True, return_counts=True)
     sizes = np.array([len(s) for _, s in members])
     forest = Forest()
+    one = len({i for i, _ in members}) == 1
     for q, role, s in sets:
         if role == 1 or not len(s):
             continue
+        one = one or len({forest.root(i) for i, _ in members}) == 1
+        if one and forest.root(q) == forest.root(members[0][0]):  # nothing new to join
+            continue
         at = np.minimum(np.searchsorted(union, s), len(union) - 1)
         at = at[union[at] == s]
         if den * len(at) < num * len(s):  # the bound on any member's overlap
@@ -130,9 +153,107 @@ def links_in(rows: list[dict], k: int, num: int, den: int, cache: WordHashes) ->
                 yield {"a": q, "b": members[m][0]}
 
 
+def union_of(bits: list[bytes | None], sizes: list[int]) -> tuple[np.ndarray, bool]:
+    """The union of narrow sets, and whether it is of 32 bits: it is if all sets are, else by 16."""
+    wide = all(n > NARROW for n in sizes)
+    sets = [np.frombuffer(b, np.uint32 if n > NARROW else np.uint16) for b, n in zip(bits, sizes, strict=True)]
+    return np.unique(np.concatenate([x if wide or n <= NARROW else (x >> 16).astype(np.uint16) for x, n in zip(sets, sizes, strict=True)])), wide
+
+
+def met_in(union: np.ndarray, wide: bool, bits: bytes, n: int) -> int:
+    """No fewer than the tokens that the set shares with any member of the union."""
+    x = np.frombuffer(bits, np.uint32 if n > NARROW else np.uint16)
+    if wide and n <= NARROW:
+        union = np.unique((union >> 16).astype(np.uint16))
+    elif not wide and n > NARROW:
+        x = (x >> 16).astype(np.uint16)
+    at = np.minimum(np.searchsorted(union, x), len(union) - 1)
+    return int((union[at] == x).sum())
+
+
+def by_gid(df: DataFrame, make, schema: str, *order: str) -> DataFrame:
+    """make(rows) over the rows of each (gid, chunk), which one task has together."""
+
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        held, key, cache = [], None, WordHashes()
+        for r in rows:
+            if (r["gid"], r["chunk"]) != key:
+                if held:
+                    yield from make(held, cache)
+                held, key = [], (r["gid"], r["chunk"])
+            held.append(r)
+        if held:
+            yield from make(held, cache)
+
+    return map_rows(df.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", *order), run, schema)
+
+
+def chunked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (q, gid, ...) with a chunk of about QUERIES for each, and (gid, chunks)."""
+    load = materialize(pairs.groupBy("gid").agg(F.count("*").alias("in_gid")).withColumn("chunks", F.ceil(F.col("in_gid") / QUERIES).cast("int")), "load")
+    dealt = lookup(pairs, load, "gid", "in_gid", F.col("q"))
+    return dealt.withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int")).drop("chunks"), load.select("gid", "chunks")
+
+
+def qualified(cand: DataFrame, placed: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (q, gid, og) whose query has threshold * |query| of its tokens in the union of the block."""
+    sets = table.filter("n > 0").select("doc_id", "n", "bits")
+    asked, load = chunked(cand)
+    members = placed.select("rep", "gid").distinct().join(load.select("gid"), "gid").join(sets, F.col("rep") == F.col("doc_id"))
+
+    def unite(rows: list[dict], cache: WordHashes) -> Iterator[dict]:
+        union, wide = union_of([r["bits"] for r in rows], [r["n"] for r in rows])
+        yield {"gid": rows[0]["gid"], "wide": wide, "bits": union.tobytes()}
+
+    matrix = materialize(by_gid(members.select("gid", F.lit(0).alias("chunk"), "n", "bits"), unite, "gid long, wide boolean, bits binary"), "matrix")
+    rows = asked.join(sets, F.col("q") == F.col("doc_id")).select("gid", "chunk", F.lit(0).alias("role"), "q", "og", "n", "bits")
+    unions = matrix.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("og"), F.col("wide").cast("long").alias("n"), "bits")
+
+    def bound(rows: list[dict], cache: WordHashes) -> Iterator[dict]:
+        if rows[0]["role"] != 1:
+            return
+        wide = bool(rows[0]["n"])
+        union = np.frombuffer(rows[0]["bits"], np.uint32 if wide else np.uint16)
+        for r in rows[1:]:
+            if den * met_in(union, wide, r["bits"], r["n"]) >= num * r["n"]:
+                yield {"q": r["q"], "gid": r["gid"], "og": r["og"]}
+
+    return by_gid(rows.unionByName(unions), bound, "q long, gid long, og long", F.desc("role")).distinct()  # an id's texts ask each
+
+
+def opened(pairs: DataFrame, placed: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that the pairs (q, gid) have."""
+    asks, load = chunked(pairs.select("q", "gid"))
+    asks = asks.select(F.col("q").alias("doc_id"), "gid", "chunk", F.lit(0).alias("role"))
+    members = placed.select("rep", "gid").distinct().join(load, "gid").select(F.col("rep").alias("doc_id"), "gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = asks.unionByName(members).join(texts, "doc_id")
+    return materialize(by_gid(rows, lambda held, cache: links_in(held, k, num, den, cache), "a long, b long"), "links")
+
+
+def links_between(cand: DataFrame, placed: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, component_id) of the documents that the candidates' links join."""
+    cand = materialize(cand, "qualified")
+    first = cand.groupBy("og", "gid").agg(F.min_by("q", F.struct(F.xxhash64("q"), "q")).alias("q")).select("q", "gid")
+    first = materialize(first.unionByName(cand.filter("gid = og").select("q", "gid")).distinct(), "first")
+    comps = materialize(components(opened(first, placed, docs, k, num, den)), "components")
+    of = placed.select("rep", "gid").distinct().join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep"))
+    blocks = of.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    blocks = blocks.join(cand.groupBy("gid").agg(F.count("*").alias("asks")), "gid")
+    rest = lookup(cand.select("q", "gid"), blocks, "gid", "asks", F.col("q")).join(comps.withColumnRenamed("id", "q"), "q", "left")
+    rest = rest.filter((F.col("lo") != F.col("hi")) | (F.col("lo") != F.coalesce("component_id", "q"))).select("q", "gid").join(first, ["q", "gid"], "left_anti")
+    rest = materialize(rest, "rest")
+    if rest.isEmpty():
+        return comps
+    known = comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    return materialize(components(known.unionByName(opened(rest, placed, docs, k, num, den))), "components")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * intersection >= num * union of their k-word sets."""
-    common = common_tokens(docs, k)
+    if not 0 < num <= den:
+        raise ValueError("the threshold is above 0 and at most 1")
+    common, hot = common_tokens(docs, k)
     table = materialize(prefixes(docs, k, num, den, common), "prefixes")
     reps = table.filter("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("probe").alias("probe"), F.first("n_index").alias("n_index"))
     reps = materialize(reps, "classes")
@@ -141,33 +262,25 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0).cast("long"))
     placed = lookup(reps, large, "g", "in_group", F.col("rep")).withColumn("gid", F.xxhash64("g", block))
     placed = materialize(placed.select("rep", "n", "g", "gid", "probe", "n_index"), "groups")
-    matrix = placed.select(F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("token"), "g", "rep", "n").repartition("token")
+    matrix = placed.select(F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("token"), "g", "rep", "n").repartition("token", *["g"] * bool(hot))
     matrix = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    queries = placed.select(F.explode("probe").alias("token"), F.col("rep").alias("q"), F.col("n").alias("nq"))
+    queries = placed.select(F.explode("probe").alias("token"), F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("gid").alias("og"))
+    on = ["token"]
+    if hot:  # at most MAX_COMMON rows
+        split = F.broadcast(placed.sparkSession.createDataFrame(hot, "token long, tasks int"))
+        matrix = matrix.join(split, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+        queries = queries.join(split, "token", "left").withColumn("part", F.pmod(F.xxhash64("q"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
+        on = ["token", "part"]
     fits = (F.col("least") <= F.col("nq")) & (F.col("most") * den >= F.col("nq") * num) & ((F.col("lo") != F.col("q")) | (F.col("hi") != F.col("q")))
-    hits = queries.alias("l").join(matrix.hint("shuffle_hash").alias("r"), (F.col("l.token") == F.col("r.token")) & fits)
-    smallest = F.ceil(F.col("nq") * num / den).cast("long")
-    met = hits.groupBy("q", "g").agg(F.count("*").alias("met"), F.first("nq").alias("nq"))
-    met = met.filter(F.col("met") >= 2 + F.floor(smallest / 50)).select("q", "g")
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    hits = queries.alias("l").join(matrix.hint("shuffle_hash").alias("r"), same & fits)
+    met = hits.groupBy("q", "nq", "g").agg(F.count("*").alias("met"), F.first("og").alias("og"))
+    met = met.filter(F.col("met") >= needed(F.col("nq"), num, den)).select("q", "g", "og")
     met = lookup(met, large, "g", "in_group", F.col("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    cand = materialize(met.select("q", F.xxhash64("g", F.col("block").cast("long")).alias("gid")), "candidates")
-    load = cand.groupBy("gid").agg(F.count("*").alias("in_gid")).withColumn("chunks", F.ceil(F.col("in_gid") / QUERIES).cast("int"))
-    load = materialize(load, "load")
-    asks = lookup(cand, load, "gid", "in_gid", F.col("q")).select(F.col("q").alias("doc_id"), "gid", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"))
-    members = placed.select("rep", "gid").join(load.select("gid", "chunks"), "gid").select(F.col("rep").alias("doc_id"), "gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    opened = asks.unionByName(members).join(texts, "doc_id").repartition("gid", "chunk").sortWithinPartitions("gid", "chunk")
-
-    def run(rows: Iterator[dict]) -> Iterator[dict]:
-        cache, held, key = WordHashes(), [], None
-        for r in rows:
-            if (r["gid"], r["chunk"]) != key:
-                yield from links_in(held, k, num, den, cache)
-                held, key = [], (r["gid"], r["chunk"])
-            held.append(r)
-        yield from links_in(held, k, num, den, cache)
-
-    comps = materialize(components(map_rows(opened, run, "a long, b long")), "components")
+    cand = materialize(met.select("q", F.xxhash64("g", F.col("block").cast("long")).alias("gid"), "og"), "candidates")
+    comps = links_between(qualified(cand, placed, table, num, den), placed, docs, k, num, den)
     known = reps.select("fp", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.filter("copies > 1 or component_id is not null").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "copies")
     out = lookup(table.select("doc_id", "n", "fp"), known, "fp", "copies", F.col("doc_id"))

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1024
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (local runs, tests)."""
-    said = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of spark.checkpoint.dir or setCheckpointDir(); one of our own only where both are unset (local runs, tests)."""
+    said = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if said:
         return said.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -34,6 +35,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -43,6 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes what materialize() wrote in this application: for a caller whose results have been taken."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import lookup, materialize, read
+from tesserae.llm.common import HOT_KEYS, lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
+#: Lines of the index that one task has of one key, about; keys of more are dealt out (the HOT_KEYS most frequent ones).
+PART = 2_000
 #: Letters whose counts are compared before texts are fetched: the sixteen most frequent ones of English.
 LETTERS = "etaoinshrdlcumwf"
 
@@ -80,7 +82,7 @@ def explained(a: Column, b: Column, tau: int) -> Column:
 
 def within(a: str, b: str, tau: int) -> str:
     """SQL for: columns a and b are within tau edits. Needs their lengths to differ by tau at most."""
-    steps = ", ".join(str(1 << p) for p in range(20, -1, -1))
+    steps = ", ".join(str(1 << p) for p in range(30, -1, -1))
     prefix = f"aggregate(array({steps}), 0, (n, s) -> if(n + s <= least(length({{x}}), length({{y}})) and substr({{x}}, n + 1, s) = substr({{y}}, n + 1, s), n + s, n))"
     bits = " + ".join(f"if(get(p, j - {tau + 1} + {k}) = t[j - 1], {1 << k}, 0)" for k in range(2 * tau + 1))
     full, top = (1 << (2 * tau + 1)) - 1, 1 << (2 * tau)
@@ -119,8 +121,13 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     near = distinct.filter("parts is not null")
     index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb"))
     probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
+    # a key of many lines: its index is dealt over parts, each of which all its probes meet
+    busy = index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > PART).orderBy(F.desc("n"), "key").limit(HOT_KEYS)
+    busy = F.broadcast(materialize(busy.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "busy"))
+    index = index.join(busy, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)))
+    probes = probes.join(busy, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     fits = (F.col("a") != F.col("b")) & explained(F.col("wa"), F.col("wb"), tau)
-    pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & fits)
+    pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & fits)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))
     found = distinct.select("h", "first").join(wanted, "h").select("h", "links", "first")
@@ -148,14 +155,16 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns of docs without the dropped lines; n_chars, if there is one, counts again; documents left without words go."""
     cut = dropped_lines(docs, tau, min_chars).filter("size(dropped) > 0").select(F.col("doc_id").alias("_d"), F.col("same").alias("_s"), F.col("dropped").alias("_dropped")).distinct()
-    joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_s")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_dropped", i))
-    joined = joined.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    joined = joined.filter(F.col("_dropped").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_h"))
+    joined = rows.join(cut, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_s")), "left")
+    cut_at = F.col("_dropped").isNotNull()
+    kept = F.filter(F.split("_row.text", "\n", -1), lambda line, i: ~F.array_contains("_dropped", i))
+    joined = joined.withColumn("_text", F.when(cut_at, F.array_join(kept, "\n")).otherwise(F.col("_row.text")))
+    joined = joined.filter(~cut_at | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.when(cut_at, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return joined.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

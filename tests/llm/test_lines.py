@@ -80,3 +80,23 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, pos int")
     assert lines.dropped_lines(df).collect() == [] and lines.dedup_lines(df).columns == ["doc_id", "text", "pos"]
+
+
+def test_many_lines_of_one_segment(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PART", 5)
+    r = random.Random(8)
+    start = "all of these lines begin with the same words, and they go on "
+    docs = [(i, start + "".join(r.choice("abcdefgh") for _ in range(30)) + "\nend of it") for i in range(120)]
+    docs += [(200 + i, mutate(r, docs[i][1].split("\n")[0], 2)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.n_lines, x.n_exact, x.n_near, tuple(x.dropped)) for x in lines.dropped_lines(df).collect()}
+    assert got == brute(docs, lines.TAU, lines.MIN_CHARS)
+
+
+def test_very_long_lines_and_clashing_columns(spark):
+    long = "0123456789 " * 200_000
+    docs = [(1, long + "abc", "x", 7, "s", 3), (2, long + "abd\nown line", "y", 8, "t", 4), (3, "short", "z", 9, "u", 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _d string, _dropped int, _s string, n_chars int")
+    out = {x.doc_id: x for x in lines.dedup_lines(df).collect()}
+    assert out[1].text == docs[0][1] and out[2].text == "own line" and out[2].n_chars == 8 and out[3].n_chars == 5
+    assert [(x._d, x._dropped, x._s) for x in (out[1], out[2], out[3])] == [d[2:5] for d in docs]

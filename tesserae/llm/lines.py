@@ -111,14 +111,13 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     length = F.char_length("line")
     code = F.xxhash64("line").alias("h"), (F.crc32(F.col("line").cast("binary")) * 65536 + F.pmod(length, F.lit(65536))).alias("c")
     place = F.struct("doc_id", "same", "pos")
-    # u and its size are columns of their own, so that they are made once a line and not once a key
-    coded = lines.select(place.alias("place"), *code, F.when(length >= min_chars, F.encode("line", "UTF-32")).alias("u"), F.when(length >= min_chars, F.col("line")).alias("line"))
-    coded = sketched(coded, F.col("line")).withColumn("size", (F.octet_length("u") / 4).cast("int"))
-    long = F.col("u").isNotNull()
-    keyed = coded.select("place", "h", "c", "w", *[F.when(long, make(F.col("u"), F.col("size"), tau)).alias(x) for x, make in (("parts", segment_keys), ("probes", probe_keys))])
-    distinct = keyed.groupBy("h", "c").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("w", "parts", "probes")])
+    coded = lines.select(place.alias("place"), *code, F.encode("line", "UTF-32").alias("u"), length.alias("size"), "line")
+    # keys of every line, also of those too short for them: within a condition u would be made once for each key
+    keyed = coded.select("place", "h", "c", "line", "size", segment_keys(F.col("u"), F.col("size"), tau).alias("parts"), probe_keys(F.col("u"), F.col("size"), tau).alias("probes"))
+    keyed = sketched(keyed, F.col("line")).drop("line")
+    distinct = keyed.groupBy("h", "c").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("w", "size", "parts", "probes")])
     distinct = materialize(distinct, "distinct")
-    near = distinct.filter("parts is not null")
+    near = distinct.filter(F.col("size") >= min_chars)
     index = near.select(F.explode("parts").alias("key"), F.col("h").alias("b"), F.col("w").alias("wb"))
     probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
     # a key of many lines: its index is dealt over parts, each of which all its probes meet

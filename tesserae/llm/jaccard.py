@@ -9,9 +9,8 @@ members' whole sets, as the first 16 or 32 bits of their hashes: a query whose t
 threshold * |query| can have no partner there, and the block is not opened for it. No text is read up to here.
 
 Opened blocks compare whole sets, exactly. First, each block is opened for its own members and for one query of every
-other block that asks; documents that links join by then are one component, and a block whose members are all in the
-component of the query that asks is not opened again. So a group of near copies costs its blocks' pairs, not its
-documents'. Tokens found in many documents stand last in the global order that prefixes follow, so that common
+other block that asks, then for all others; a block whose members are all in the component of the query that asks is not
+opened again. So near copies that link cost their blocks' pairs, not their own. Tokens found in many documents stand last in the global order that prefixes follow, so that common
 passages make no candidates; the most common are split over tasks. Any order gives the same links.
 
 Nulls, empty texts: an empty set, linked with nothing. Null ids: never linked, component_id null. Rows that
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import Forest, WordHashes, components, lookup, map_rows, materialize, mix, read, shingle_hashes, signed
 
-BLOCK, QUERIES = 128, 256
+BLOCK, QUERIES = 128, 128
 #: Sets of more tokens are held in the matrix by 32 bits a token, others by 16.
 NARROW = 2048
 #: Queries that meet at one token, at most (by the token's count): more are dealt over several tasks.
@@ -196,7 +195,7 @@ def chunked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def qualified(cand: DataFrame, placed: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (q, gid, og) whose query has threshold * |query| of its tokens in the union of the block."""
+    """(q, gid, chunk) of the pairs (q, gid) whose query has threshold * |query| of its tokens in the union of the block."""
     sets = table.filter("n > 0").select("doc_id", "n", "bits")
     asked, load = chunked(cand)
     members = placed.select("rep", "gid").distinct().join(load.select("gid"), "gid").join(sets, F.col("rep") == F.col("doc_id"))
@@ -206,8 +205,8 @@ def qualified(cand: DataFrame, placed: DataFrame, table: DataFrame, num: int, de
         yield {"gid": rows[0]["gid"], "wide": wide, "bits": union.tobytes()}
 
     matrix = materialize(by_gid(members.select("gid", F.lit(0).alias("chunk"), "n", "bits"), unite, "gid long, wide boolean, bits binary"), "matrix")
-    rows = asked.join(sets, F.col("q") == F.col("doc_id")).select("gid", "chunk", F.lit(0).alias("role"), "q", "og", "n", "bits")
-    unions = matrix.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("og"), F.col("wide").cast("long").alias("n"), "bits")
+    rows = asked.join(sets, F.col("q") == F.col("doc_id")).select("gid", "chunk", F.lit(0).alias("role"), "q", "n", "bits")
+    unions = matrix.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("q"), F.col("wide").cast("long").alias("n"), "bits")
 
     def bound(rows: list[dict], cache: WordHashes) -> Iterator[dict]:
         if rows[0]["role"] != 1:
@@ -216,37 +215,50 @@ def qualified(cand: DataFrame, placed: DataFrame, table: DataFrame, num: int, de
         union = np.frombuffer(rows[0]["bits"], np.uint32 if wide else np.uint16)
         for r in rows[1:]:
             if den * met_in(union, wide, r["bits"], r["n"]) >= num * r["n"]:
-                yield {"q": r["q"], "gid": r["gid"], "og": r["og"]}
+                yield {"q": r["q"], "gid": r["gid"], "chunk": r["chunk"]}
 
-    return by_gid(rows.unionByName(unions), bound, "q long, gid long, og long", F.desc("role")).distinct()  # an id's texts ask each
+    return by_gid(rows.unionByName(unions), bound, "q long, gid long, chunk int", F.desc("role")).distinct()  # an id's texts ask each
 
 
 def opened(pairs: DataFrame, placed: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that the pairs (q, gid) have."""
-    asks, load = chunked(pairs.select("q", "gid"))
-    asks = asks.select(F.col("q").alias("doc_id"), "gid", "chunk", F.lit(0).alias("role"))
-    members = placed.select("rep", "gid").distinct().join(load, "gid").select(F.col("rep").alias("doc_id"), "gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
+    """Links (a, b) that the pairs (q, gid, chunk) have."""
+    asks = pairs.select(F.col("q").alias("doc_id"), "gid", "chunk", F.lit(0).alias("role"))
+    members = placed.select("rep", "gid").distinct().join(pairs.select("gid", "chunk").distinct(), "gid").select(F.col("rep").alias("doc_id"), "gid", "chunk", F.lit(1).alias("role"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = asks.unionByName(members).join(texts, "doc_id")
     return materialize(by_gid(rows, lambda held, cache: links_in(held, k, num, den, cache), "a long, b long"), "links")
 
 
-def links_between(cand: DataFrame, placed: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, component_id) of the documents that the candidates' links join."""
-    cand = materialize(cand, "qualified")
-    first = cand.groupBy("og", "gid").agg(F.min_by("q", F.struct(F.xxhash64("q"), "q")).alias("q")).select("q", "gid")
-    first = materialize(first.unionByName(cand.filter("gid = og").select("q", "gid")).distinct(), "first")
-    comps = materialize(components(opened(first, placed, docs, k, num, den)), "components")
-    of = placed.select("rep", "gid").distinct().join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep"))
-    blocks = of.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    blocks = blocks.join(cand.groupBy("gid").agg(F.count("*").alias("asks")), "gid")
-    rest = lookup(cand.select("q", "gid"), blocks, "gid", "asks", F.col("q")).join(comps.withColumnRenamed("id", "q"), "q", "left")
-    rest = rest.filter((F.col("lo") != F.col("hi")) | (F.col("lo") != F.coalesce("component_id", "q"))).select("q", "gid").join(first, ["q", "gid"], "left_anti")
-    rest = materialize(rest, "rest")
-    if rest.isEmpty():
+def in_blocks(met: DataFrame, *more: str) -> DataFrame:
+    """(q, gid, more...) for the pairs (q, g, blocks, more...): every block of a large group."""
+    dealt = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return dealt.select("q", F.xxhash64("g", F.col("block").cast("long")).alias("gid"), *more)
+
+
+def links_between(met: DataFrame, large: DataFrame, placed: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, component_id) of the documents that the links among the pairs (q, g, og) join."""
+
+    def open_all(pairs: DataFrame) -> DataFrame:
+        asked = materialize(pairs.distinct(), "candidates")
+        fit = materialize(qualified(asked, placed, table, num, den), "qualified")
+        return opened(fit, placed, docs, k, num, den)
+
+    # each block for its own members, and for one query of every other block that asks its group
+    one = met.groupBy("og", "g").agg(F.min_by("q", F.struct(F.xxhash64("q"), "q")).alias("q")).select("q", "g")
+    first = in_blocks(lookup(one, large, "g", "in_group", F.col("q"))).unionByName(met.filter("g = own").select("q", F.col("og").alias("gid")))
+    comps = materialize(components(open_all(first)), "components")
+    # then for all others, but never for a query in whose component all of the block's members are by now
+    of = placed.select("rep", "g", "gid").distinct().join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep"))
+    known = lambda key: of.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    apart = (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("cq"))
+    asked = met.groupBy("g").agg(F.count("*").alias("asks")).join(known("g"), "g").join(large.select("g", "blocks"), "g", "left")
+    left = met.join(comps.select(F.col("id").alias("q"), F.col("component_id")), "q", "left").select("q", "g", F.coalesce("component_id", "q").alias("cq"))
+    left = lookup(left, asked, "g", "asks", F.col("q")).filter(apart).select("q", "g", "cq", "blocks")
+    left = materialize(left, "left")
+    if left.isEmpty():
         return comps
-    known = comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    return materialize(components(known.unionByName(opened(rest, placed, docs, k, num, den))), "components")
+    more = open_all(in_blocks(left, "cq").join(known("gid"), "gid").filter(apart).select("q", "gid"))
+    return materialize(components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)), "components")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -264,7 +276,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     placed = materialize(placed.select("rep", "n", "g", "gid", "probe", "n_index"), "groups")
     matrix = placed.select(F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("token"), "g", "rep", "n").repartition("token", *["g"] * bool(hot))
     matrix = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    queries = placed.select(F.explode("probe").alias("token"), F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("gid").alias("og"))
+    queries = placed.select(F.explode("probe").alias("token"), F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("gid").alias("og"), F.col("g").alias("own"))
     on = ["token"]
     if hot:  # at most MAX_COMMON rows
         split = F.broadcast(placed.sparkSession.createDataFrame(hot, "token long, tasks int"))
@@ -276,11 +288,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     for c in on:
         same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     hits = queries.alias("l").join(matrix.hint("shuffle_hash").alias("r"), same & fits)
-    met = hits.groupBy("q", "nq", "g").agg(F.count("*").alias("met"), F.first("og").alias("og"))
-    met = met.filter(F.col("met") >= needed(F.col("nq"), num, den)).select("q", "g", "og")
-    met = lookup(met, large, "g", "in_group", F.col("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    cand = materialize(met.select("q", F.xxhash64("g", F.col("block").cast("long")).alias("gid"), "og"), "candidates")
-    comps = links_between(qualified(cand, placed, table, num, den), placed, docs, k, num, den)
+    met = hits.groupBy("q", "nq", "g").agg(F.count("*").alias("met"), F.first("og").alias("og"), F.first("own").alias("own"))
+    met = materialize(met.filter(F.col("met") >= needed(F.col("nq"), num, den)).select("q", "g", "og", "own"), "met")
+    comps = links_between(met, large, placed, table, docs, k, num, den)
     known = reps.select("fp", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.filter("copies > 1 or component_id is not null").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "copies")
     out = lookup(table.select("doc_id", "n", "fp"), known, "fp", "copies", F.col("doc_id"))

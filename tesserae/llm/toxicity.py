@@ -2,12 +2,15 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector for all ordered thresholds. Grades: 0 not toxic, 1 toxic,
 2 severe. Labels say toxic or not; of the toxic ones those are severe whose share of telling words (words at least
-TELLING times as frequent in toxic as in other documents) is the median of them or more. Features are the words of the
+TELLING times as frequent in toxic as in other documents) is the median of them or more. Telling words are found in one
+half of the documents and grade the other half, so that no document is graded by words it made telling itself; severity
+beyond toxic or not is thus a reading of the words, which no label confirms. Features are the words of the
 whole text, without case and outer punctuation, whose rates in the two classes differ by MIN_Z deviations or more, at most
-FEATURES of them: their presence and their share. The fit is on at most
-FIT_DOCS labelled documents, chosen by a hash of the id; every document is scored.
+FEATURES of them: their presence and their share. The fit is on at most FIT_DOCS labelled documents, chosen by a hash of the id, and
+at most FIT_WORDS distinct words of each (those of the smallest hashes); every document is scored on its whole text.
 
-Null or empty text has no features and gets the severity of an empty text. Rows that repeat an id are scored each.
+Null or empty text has no features and gets the severity of an empty text. Rows that repeat an id are scored each; the
+fit takes one of their texts.
 Labels of documents that are absent or null are ignored; with one class only, or no labels, severity is the share of
 toxic labels. Other columns are ignored.
 """
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import map_rows, read
 
-FIT_DOCS, FEATURES, TELLING, MIN_DF, MIN_Z, STEPS = 12_000, 2_000, 8.0, 3, 4.0, 400
+FIT_DOCS, FIT_WORDS = 12_000, 4_096
+FEATURES, TELLING, MIN_DF, MIN_Z, STEPS = 2_000, 8.0, 3, 4.0, 400
 EDGES = ".,;:!?\"'()[]{}«»¡¿…-_*#$%&|<>"
 
 
@@ -70,8 +74,15 @@ class Ordinal:
         gain = np.where((df >= MIN_DF) & (z >= MIN_Z), np.abs(np.log(rate1 / rate0)) * z, 0)
         best = np.sort(np.argsort(-gain, kind="stable")[: min(FEATURES, int((gain > 0).sum()))])
         self.words = u[best]
-        telling = set(u[(rate1 >= TELLING * rate0) & (df >= MIN_DF)].tolist())
-        part = np.array([sum(int(n) for w, n in zip(b[0].tolist(), b[1], strict=True) if w in telling) / max(1, b[2]) if t else 0.0 for b, t in zip(bags, toxic, strict=True)])
+        part = np.zeros(len(bags))
+        for half in (0, 1):
+            other = np.arange(len(bags)) % 2 != half
+            n1, n0 = (toxic[other] == 1).sum(), (toxic[other] == 0).sum()
+            there = other[owner]
+            d, d1 = np.bincount(inv[there], minlength=len(u)), np.bincount(inv[there], weights=toxic[owner[there]], minlength=len(u))
+            known = u[((d1 + 0.5) / (n1 + 1) >= TELLING * (d - d1 + 0.5) / (n0 + 1)) & (d >= MIN_DF)]
+            for i in np.flatnonzero(~other & (toxic == 1)):
+                part[i] = bags[i][1][np.isin(bags[i][0], known)].sum() / max(1, bags[i][2])
         grade = toxic.astype(int)
         grade[(toxic == 1) & (part >= np.median(part[toxic == 1])) & (part > 0)] = 2
         self.fit([self.features(*b) for b in bags], grade)
@@ -126,13 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
         words = Words()
         for b in batches:
             bags = [bag(t.as_py(), words) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0].tobytes() for x in bags]), pa.array([x[1].tobytes() for x in bags])], names=["doc_id", "toxic", "h", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0][:FIT_WORDS].tobytes() for x in bags]), pa.array([x[1][:FIT_WORDS].tobytes() for x in bags]), pa.array([x[2] for x in bags], pa.int64())], names=["doc_id", "toxic", "h", "n", "total"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, h binary, n binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.h), bytes(r.n)))
-    bags = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.int64)) for r in rows]
-    return Ordinal([(h, n, int(n.sum())) for h, n in bags], np.array([min(1, max(0, r.toxic)) for r in rows], float))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, h binary, n binary, total long")
+    # no more than FIT_DOCS rows of FIT_WORDS words
+    rows = sorted(rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("h", "n", "total")).alias("bag")).collect(), key=lambda r: r.doc_id)
+    bags = [(np.frombuffer(r.bag.h, np.uint64), np.frombuffer(r.bag.n, np.int64), r.bag.total) for r in rows]
+    return Ordinal(bags, np.array([min(1, max(0, r.toxic)) for r in rows], float))
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:

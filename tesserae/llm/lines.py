@@ -144,7 +144,7 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     out = out.withColumn("exact", exact).filter("exact or near")
     per = out.groupBy("doc_id", "same").agg(F.sort_array(F.collect_set(F.struct("pos", "exact"))).alias("gone"))
     # a document without lines has no row yet
-    all_docs = rows.select("doc_id", "same", F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    all_docs = rows.select("doc_id", "same", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     joined = all_docs.join(per.withColumnsRenamed({"doc_id": "_d", "same": "_s"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("same") == F.col("_s")), "left")
     gone = F.coalesce("gone", F.array().cast("array<struct<pos:int,exact:boolean>>"))
     of = lambda exact: F.size(F.filter(gone, lambda x: x["exact"] == F.lit(exact))).cast("long")

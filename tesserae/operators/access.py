@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.model import persisted
+from tesserae.model import FOREVER, LIVE, TimeSlice, persisted
+from tesserae.operators.scan import page
+from tesserae.operators.write import fresh, supersede
 
 
 @dataclass(frozen=True)
@@ -44,26 +46,33 @@ def check_model(model: dict[str, Relation]) -> list[str]:
 def granted(tuples: DataFrame, model: dict[str, Relation]) -> DataFrame:
     """(object, relation, subject) that hold. tuples: object, relation, subject, subject_relation (null: the subject itself)."""
     order = check_model(model)
-    direct = tuples.filter("subject_relation is null").select("object", "relation", "subject")
-    usersets = tuples.filter("subject_relation is not null").select("object", "relation", F.col("subject").alias("via_object"), F.col("subject_relation").alias("via_relation"))
+    tuples = persisted(tuples.select("object", "relation", "subject", "subject_relation").distinct())  # read in every round
+    usersets = tuples.filter("subject_relation is not null").select(F.col("object").alias("o"), F.col("relation").alias("r"), F.col("subject").alias("via_object"), F.col("subject_relation").alias("via_relation"))
     spark = tuples.sparkSession
-    computed = [(n, a) for n, r in model.items() for a in r.any]
     through = [(n, t, rel) for n, r in model.items() for t, rel in r.via]
-    comp = spark.createDataFrame(computed, "to string, relation string") if computed else None
-    ttu = spark.createDataFrame(through, "to string, tupleset string, via_relation string") if through else None
-    held = front = persisted(direct.distinct())
+    if through:  # (child, to) has whoever has via_relation of the parent
+        ttu = F.broadcast(spark.createDataFrame(through, "to string, tupleset string, via_relation string"))  # the model's
+        parents = tuples.join(ttu, F.col("relation") == F.col("tupleset")).select(F.col("object").alias("o"), F.col("to").alias("r"), F.col("subject").alias("via_object"), "via_relation")
+        usersets = usersets.unionByName(parents)
+    usersets = persisted(usersets.distinct())
+    above: dict[str, set[str]] = {n: set() for n in model}  # relations that follow from one, through any number of steps
+    for n in model:
+        todo = [n]
+        while todo:
+            x = todo.pop()
+            for m, r in model.items():
+                if x in r.any and m not in above[n]:
+                    above[n].add(m)
+                    todo.append(m)
+    implied = F.create_map(*[F.lit(x) if i == 0 else x for n in model for i, x in ((0, n), (1, F.array(F.lit(n), *[F.lit(m) for m in sorted(above[n])])))])
+    spread = lambda rows: rows.select("object", F.explode(F.element_at(implied, F.col("relation"))).alias("relation"), "subject").distinct()
+    direct = tuples.filter("subject_relation is null").filter(F.col("relation").isin(*model)).select("object", "relation", "subject")
+    held = front = persisted(spread(direct))
     while not front.isEmpty():
-        parts = [front.join(usersets.withColumnsRenamed({"object": "o", "relation": "r"}), (F.col("object") == F.col("via_object")) & (F.col("relation") == F.col("via_relation"))).select(F.col("o").alias("object"), F.col("r").alias("relation"), "subject")]
-        if comp is not None:
-            parts.append(front.join(F.broadcast(comp), "relation").select("object", F.col("to").alias("relation"), "subject"))
-        if ttu is not None:
-            parent = tuples.select(F.col("object").alias("child"), F.col("relation").alias("tupleset"), F.col("subject").alias("object")).join(F.broadcast(ttu), "tupleset")
-            parts.append(front.join(parent.withColumnRenamed("object", "po"), (F.col("object") == F.col("po")) & (F.col("relation") == F.col("via_relation"))).select(F.col("child").alias("object"), F.col("to").alias("relation"), "subject"))
-        new = parts[0]
-        for p in parts[1:]:
-            new = new.unionByName(p)
-        front = persisted(new.distinct().join(held, ["object", "relation", "subject"], "left_anti"))
-        held = persisted(held.unionByName(front))
+        new = front.join(usersets, (F.col("object") == F.col("via_object")) & (F.col("relation") == F.col("via_relation"))).select(F.col("o").alias("object"), F.col("r").alias("relation"), "subject")
+        front = persisted(spread(new).join(held, ["object", "relation", "subject"], "left_anti"))
+        held = held.unionByName(front)
+    held = persisted(held)
     for n in order:
         for other, how in (*((o, "left_semi") for o in model[n].both), *((o, "left_anti") for o in model[n].minus)):
             ok = held.filter(F.col("relation") == n).join(held.filter(F.col("relation") == other).select("object", "subject"), ["object", "subject"], how)
@@ -71,5 +80,90 @@ def granted(tuples: DataFrame, model: dict[str, Relation]) -> DataFrame:
     return held
 
 
-def list_objects(held: DataFrame, relation: str, subject: str, limit: int = 100) -> DataFrame:
-    return held.filter((F.col("relation") == relation) & (F.col("subject") == subject)).select("object").distinct().orderBy("object").limit(limit)
+def list_objects(held: DataFrame, relation: str, subject: str, limit: int = 100, cursor: str | None = None) -> DataFrame:
+    objects = held.filter((F.col("relation") == relation) & (F.col("subject") == subject)).select("object").distinct()
+    return page(objects, ["object"], limit, cursor)
+
+
+def as_tuples(edges: DataFrame, when: int | None = None) -> DataFrame:
+    """(object, relation, subject, subject_relation) of the edges subject -> object that are believed now to hold at an instant."""
+    held = edges.filter(TimeSlice(as_of=when).predicate())
+    return held.select(F.col("dst").alias("object"), F.col("rel").alias("relation"), F.col("src").alias("subject"), F.get_json_object("data", "$.subjectRelation").alias("subject_relation"))
+
+
+def check(held: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (object, relation, subject) with whether they hold."""
+    return asks.join(held.withColumn("_held", F.lit(True)), ["object", "relation", "subject"], "left").withColumn("allowed", F.coalesce("_held", F.lit(False))).drop("_held")
+
+
+def write_tuples(edges: DataFrame, tuples: DataFrame, now: int) -> DataFrame:
+    """edges with the tuples (id, object, relation, subject, subject_relation) that no live edge says yet."""
+    known = as_tuples(edges)
+    cols = ("object", "relation", "subject", "subject_relation")
+    same = F.lit(True)
+    for c in cols:
+        same = same & tuples[c].eqNullSafe(known[c])
+    new = tuples.dropDuplicates(list(cols)).join(known, same, "left_anti")
+    data = F.when(F.col("subject_relation").isNull(), F.lit("{}")).otherwise(F.to_json(F.struct(F.col("subject_relation").alias("subjectRelation"))))
+    rows = new.select("id", F.col("subject").alias("src"), F.col("object").alias("dst"), F.col("relation").alias("rel"), F.lit(1.0).alias("weight"), data.alias("data"))
+    return edges.unionByName(fresh(rows, edges, now))
+
+
+def revoke_tuples(edges: DataFrame, tuples: DataFrame, now: int) -> DataFrame:
+    """edges whose live ones that say the tuples hold no longer from now; that they did is kept. Tuples that no edge says do nothing."""
+    live = edges.filter(LIVE.predicate()).withColumn("_r", F.get_json_object("data", "$.subjectRelation"))
+    same = (live["dst"] == tuples["object"]) & (live["rel"] == tuples["relation"]) & (live["src"] == tuples["subject"]) & live["_r"].eqNullSafe(tuples["subject_relation"])
+    hit = persisted(live.join(tuples, same, "left_semi").select("id", "valid_from", "recorded_from"))
+    at = F.greatest(F.lit(now).cast("long"), F.col("valid_from") + 1, F.col("recorded_from") + 1)
+    return supersede(edges, hit.select("id", at.alias("from"), F.lit(FOREVER).cast("long").alias("to"), F.lit(True).alias("retract"), F.lit(None).cast("string").alias("data")), now)
+
+
+def expand(tuples: DataFrame, model: dict[str, Relation], object: str, relation: str) -> dict:
+    """The tree of who has a relation: leaves with subjects and usersets, unions, intersections, exclusions. A relation met
+    again on its own path is an empty leaf. Reads the tuples of the objects on the tree, level by level."""
+    check_model(model)
+    known: dict[str, list] = {}
+
+    def fetch(objects: set[str]) -> None:
+        objects -= set(known)
+        while objects:
+            rows = tuples.filter(F.col("object").isin(*objects)).collect()
+            for o in objects:
+                known[o] = [r for r in rows if r.object == o]
+            sets = {t for r in model.values() for t, _ in r.via}
+            objects = {r.subject for r in rows if r.relation in sets} - set(known)
+
+    def leaf(o: str, r: str) -> dict:
+        mine = [t for t in known.get(o, []) if t.relation == r]
+        return {"type": "leaf", "subjects": sorted(t.subject for t in mine if t.subject_relation is None), "usersets": sorted(f"{t.subject}#{t.subject_relation}" for t in mine if t.subject_relation is not None)}
+
+    def tree(o: str, r: str, above: tuple) -> dict:
+        if (o, r) in above:
+            return {"type": "leaf", "subjects": [], "usersets": []}
+        d, here = model[r], (*above, (o, r))
+        children = [leaf(o, r), *(tree(o, x, here) for x in d.any)]
+        for tupleset, computed in d.via:
+            parents = sorted(t.subject for t in known.get(o, []) if t.relation == tupleset)
+            children.append({"type": "union", "children": [tree(p, computed, here) for p in parents]})
+        out = {"type": "union", "children": children} if len(children) > 1 else children[0]
+        if d.both:
+            out = {"type": "intersection", "children": [out, *(tree(o, x, here) for x in d.both)]}
+        for x in d.minus:
+            out = {"type": "exclusion", "base": out, "subtract": tree(o, x, here)}
+        return out
+
+    fetch({object})
+    return tree(object, relation, ())
+
+
+#: Roles in a tenant, the weaker first.
+ROLES = ("viewer", "editor", "owner")
+
+
+def role_checks(members: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (tenant, user, role) with status: 200 if the user has the role or a stronger one, 403 if a weaker one, 404 if the
+    user is not of the tenant. members: (tenant, user, role)."""
+    level = lambda c: sum((F.when(F.col(c) == r, i + 1).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
+    best = members.groupBy("tenant", "user").agg(F.max(level("role")).alias("_has"))
+    j = asks.join(best, ["tenant", "user"], "left")
+    return j.select("tenant", "user", "role", F.when(F.col("_has").isNull(), 404).when(F.col("_has") >= level("role"), 200).otherwise(403).alias("status"))

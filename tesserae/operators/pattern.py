@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.model import LIVE, TimeSlice
 
 
+def json_text(data: str, key: str) -> Column:
+    """The text of one key of a JSON object, whatever signs the key has; null for JSON null or an absent key."""
+    return F.try_element_at(F.from_json(data, "map<string,string>"), F.lit(key))
+
+
 def adjacency(edges: DataFrame, direction: str = "out", rel: str | None = None) -> DataFrame:
     """(a, b, weight, valid_from, valid_to) along the direction; a self-loop stands once under both."""
     e = edges.filter(F.col("rel") == rel) if rel else edges
@@ -67,9 +72,19 @@ class Pattern:
         for a, key, value in self.conds:
             if a == alias:
                 text = str(value).lower() if isinstance(value, bool) else None if value is None else str(value)
-                n = n.filter(F.get_json_object("data", f"$.{key}") == F.lit(text))
+                n = n.filter(json_text("data", key) == F.lit(text))
         return n.select(F.col("id").alias(alias))
 
+    def rows(self) -> DataFrame:
+        """One struct (id, type, data) of the node in the slice under each alias, in place of its id."""
+        out = self.to_dataframe()
+        depth = [c for c in out.columns if c == "depth" and any(s[0] == "var" for s in self.steps)]
+        aliases = [c for c in out.columns if c not in depth]
+        held = self.nodes.filter(self.when.predicate()).select(F.col("id").alias("_id"), F.struct("id", "type", "data").alias("_node"))
+        for a in aliases:
+            out = out.join(held, F.col(a) == F.col("_id")).withColumn(a, F.col("_node")).drop("_id", "_node")
+        return out.select(*aliases, *depth)
+
     def to_dataframe(self) -> DataFrame:
         if [s[0] for s in self.steps[::2]] != ["node"] * ((len(self.steps) + 1) // 2) or any(s[0] == "node" for s in self.steps[1::2]) or len(self.steps) % 2 == 0:
             raise ValueError("a pattern is a chain of nodes with one step between two of them")
@@ -106,16 +121,27 @@ class Pattern:
         return out.withColumn(alias, F.col("_at")).join(self._nodes(alias, type), alias).select(start, alias, "depth")
 
 
+class BadSpec(ValueError):
+    pass
+
+
 def match_from_spec(nodes: DataFrame, edges: DataFrame, spec: dict) -> DataFrame:
-    """The same pattern from a dict of steps and conditions."""
-    p = Pattern(nodes, edges, TimeSlice(spec.get("asOf"), spec.get("recordedAsOf")))
-    for s in spec["steps"]:
-        if "node" in s:
-            p.node(s["node"], s.get("type"))
-        elif "hops" in s:
-            p.hops(s["rel"], *s["hops"])
-        else:
-            p.steps.append(("edge", s["rel"], s.get("direction", "out")))
-    for c in spec.get("where", []):
-        p.where(c["alias"], c["key"], c["value"])
-    return p.to_dataframe()
+    """The same pattern from a dict: steps that are nodes {node, type} and edges {rel, direction} or {rel, hops} in turn, and
+    `where` conditions {alias, key, value}. Raises BadSpec for anything else."""
+    try:
+        unknown = set(spec) - {"steps", "where", "asOf", "recordedAsOf"}
+        if unknown:
+            raise BadSpec(f"unknown members {sorted(unknown)}")
+        p = Pattern(nodes, edges, TimeSlice(spec.get("asOf"), spec.get("recordedAsOf")))
+        for s in spec["steps"]:
+            if "node" in s:
+                p.node(s["node"], s.get("type"))
+            elif "hops" in s:
+                p.hops(s["rel"], *s["hops"])
+            else:
+                p.steps.append(("edge", s["rel"], s.get("direction", "out")))
+        for c in spec.get("where", []):
+            p.where(c["alias"], c["key"], c["value"])
+        return p.to_dataframe()
+    except (KeyError, TypeError, AttributeError, ValueError) as e:
+        raise BadSpec(f"no pattern: {e}") from e

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.model import FOREVER, TimeSlice
+from tesserae.model import FOREVER, TimeSlice, ranked
 
 
 def at(versions: DataFrame, as_of: int | None = None, recorded_as_of: int | None = None) -> DataFrame:
@@ -23,6 +23,10 @@ def node_version(versions: DataFrame, id: str, **when: int) -> DataFrame:
     return node(versions, id, **when).withColumn("revision", F.col("ver").cast("string"))
 
 
+def node_content(versions: DataFrame, id: str, **when: int) -> DataFrame:
+    return node(versions, id, **when).select("id", "body", "uri", "content_hash", "content_type")
+
+
 def history(versions: DataFrame, id: str) -> DataFrame:
     return versions.filter(F.col("id") == id).withColumn("current", F.col("recorded_to") == FOREVER).orderBy("valid_from", "recorded_from", "ver")
 
@@ -60,12 +64,7 @@ def timeline_ticks(points: DataFrame, cap: int) -> DataFrame:
     if cap == 1:
         return t.agg(F.max("t").alias("t"))
     k = -(-(n - 1) // (cap - 1))
-    # ranks by a range partitioning: an offset for each partition, a window inside
-    parts = t.repartitionByRange("t").withColumn("p", F.spark_partition_id())
-    sums = parts.groupBy("p").agg(F.count("*").alias("c"))
-    offset = sums.withColumn("before", F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1))).select("p", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = parts.join(F.broadcast(offset), "p").withColumn("rn", F.col("before") + F.row_number().over(W.partitionBy("p").orderBy("t")) - 1)
-    return ranked.filter((F.col("rn") % k == 0) | (F.col("rn") == n - 1)).select("t")
+    return ranked(t, ["t"], "rn").filter((F.col("rn") % k == 0) | (F.col("rn") == n - 1)).select("t")
 
 
 def latest_instant(versions: DataFrame) -> DataFrame:

@@ -6,26 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.model import FOREVER, persisted
+from tesserae.operators.pattern import adjacency
 from tesserae.operators.scan import within_fanout
 
 
 def walk(seeds: DataFrame, adj: DataFrame, max_depth: int = 2, max_fanout: int = 1_000, allowed: DataFrame | None = None) -> DataFrame:
-    """(id, depth, seed): each node reached at its least depth, by the smallest seed that reaches it there."""
+    """(id, depth, seed): each node reached at its least depth, by the smallest seed that reaches it there.
+
+    Only allowed nodes are reached, seeds too; nodes of more than max_fanout edges are reached, but not passed."""
     hop = within_fanout(adj.select("a", "b"), max_fanout).distinct()
+    if allowed is not None:
+        hop = hop.join(allowed.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+        seeds = seeds.join(allowed.select("id"), "id", "left_semi")
+    hop = persisted(hop)  # read in every round
     seen = persisted(seeds.select("id", F.lit(0).alias("depth"), F.col("id").alias("seed")).distinct())
     front = seen
     for depth in range(1, max_depth + 1):
         reached = front.join(hop, front.id == hop.a).groupBy(F.col("b").alias("id")).agg(F.min("seed").alias("seed"))
-        if allowed is not None:
-            reached = reached.join(allowed.select("id"), "id", "left_semi")
         front = persisted(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "seed"))
         seen = seen.unionAll(front)
     return seen
 
 
-def journey(start: str, t0: int, edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(id, arrival, hops): earliest arrival over edges still valid, and the fewest hops, each on its own."""
+def by_rank(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """A walk's rows (id, depth, seed) with their seed's rank, in the order depth, rank, id. seeds: (id, rank)."""
+    return found.join(F.broadcast(seeds.select(F.col("id").alias("seed"), "rank")), "seed").orderBy("depth", "rank", "id")  # as many seeds as were asked for
+
+
+def journey(start: str, t0: int, edges: DataFrame, max_depth: int = 6, max_fanout: int | None = None) -> DataFrame:
+    """(id, arrival, hops): earliest arrival over edges still valid, and the fewest hops, each on its own.
+
+    With max_fanout, nodes of more edges that are open now are reached, but not passed; nodes without such edges are."""
     e = edges.select("src", "dst", "valid_from", "valid_to")
+    if max_fanout is not None:
+        many = e.filter(F.col("valid_to") == FOREVER).groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > max_fanout).select("src")
+        e = e.join(many, "src", "left_anti").select("src", "dst", "valid_from", "valid_to")
+    e = persisted(e)  # read in every round
     spark = edges.sparkSession
     level = spark.createDataFrame([(start, t0)], "id string, t long")
     found = spark.createDataFrame([], "id string, t long, depth int")
@@ -86,7 +102,7 @@ def shortest_path(src: str, dst: str, adj: DataFrame, weighted: bool = True) ->
 
 def reachable(seeds: DataFrame, adj: DataFrame) -> DataFrame:
     """Ids reached from the seeds, the seeds with them."""
-    hop = adj.select("a", "b").distinct()
+    hop = persisted(adj.select("a", "b").distinct())  # read in every round
     seen = front = persisted(seeds.select("id").distinct())
     while not front.isEmpty():
         front = persisted(front.join(hop, front.id == hop.a).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
@@ -98,3 +114,9 @@ def arrivals_in_force(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node version in force at each arrival."""
     current = nodes.filter(F.col("recorded_to") == FOREVER)
     return found.join(current, "id").filter((F.col("valid_from") <= F.col("arrival")) & (F.col("valid_to") > F.col("arrival")))
+
+
+def two_hops(id: str, edges: DataFrame, rel: str) -> DataFrame:
+    """(id): the node and what lies within two edges of the relation, in either direction."""
+    adj = adjacency(edges, "both", rel)
+    return walk(edges.sparkSession.createDataFrame([(id,)], "id string"), adj, 2, max(1, 2**31 - 1)).select("id")

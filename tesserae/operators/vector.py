@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.model import LIVE, TimeSlice
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -17,16 +19,26 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def vector_seeds(vectors: DataFrame, query: list[float], k: int = 10, exact: bool = False) -> DataFrame:
-    """(id, dist, chunk): nearest ids by their best chunk among the 4k nearest rows (all rows if exact)."""
+    """(id, dist, score, chunk, snippet): nearest ids by their best chunk among the 4k nearest rows (all rows if exact), with
+    that chunk's text, if vectors have one; score is 1 - dist."""
     if any(not math.isfinite(x) for x in query):
         raise ValueError("the query vector is not finite")
+    text = F.col("text") if "text" in vectors.columns else F.lit(None).cast("string")
     if k <= 0 or not any(query):
-        return vectors.select("id", F.lit(0.0).alias("dist"), "chunk").limit(0)
+        return vectors.select("id", F.lit(0.0).alias("dist"), F.lit(0.0).alias("score"), "chunk", text.alias("snippet")).limit(0)
     q = F.array(*[F.lit(float(x)) for x in query])
-    rows = vectors.select("id", "chunk", cosine_distance(F.col("emb"), q).alias("dist"))
+    rows = vectors.select("id", "chunk", cosine_distance(F.col("emb"), q).alias("dist"), text.alias("snippet"))
     near = rows if exact else rows.orderBy("dist", "id", "chunk").limit(4 * k)
-    best = near.groupBy("id").agg(F.min(F.struct("dist", "chunk")).alias("m")).select("id", "m.dist", "m.chunk")
-    return best.orderBy("dist", "id").limit(k)
+    best = near.groupBy("id").agg(F.min(F.struct("dist", "chunk", "snippet")).alias("m"))
+    return best.select("id", "m.dist", (1 - F.col("m.dist")).alias("score"), "m.chunk", "m.snippet").orderBy("dist", "id").limit(k)
+
+
+def past_vector_seeds(vectors: DataFrame, query: list[float], nodes: DataFrame, when: TimeSlice, k: int = 10) -> DataFrame:
+    """The k nearest live nodes that also have a version in the slice, among the 4k nearest."""
+    if when == LIVE:
+        return vector_seeds(vectors, query, k)
+    there = nodes.filter(when.predicate()).select("id").distinct()
+    return vector_seeds(vectors, query, 4 * k).join(there, "id", "left_semi").orderBy("dist", "id").limit(k)
 
 
 def hash_embed(text: Column, dim: int = 64) -> Column:

@@ -37,6 +37,13 @@ FROM @events""",
     "links": f"""
 SELECT * FROM (SELECT 'u:' || user_id AS src, lead('u:' || user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst, CAST(1 + event_id % 9 AS DOUBLE) AS weight,
   MS(ts) AS valid_from, MS(ts) + 172800000 AS valid_to, {BELIEVED} FROM @events) WHERE dst IS NOT NULL AND src <> dst""",
+    "docs": f"""
+SELECT doc_id AS ver, 'd:' || doc_id AS id, lang AS type, text AS body, 'doc:' || source || '/' || doc_id AS uri, CAST(NULL AS STRING) AS content_hash, 'text/plain' AS content_type,
+  '{{"source":"' || source || '","n":' || n_chars || '}}' AS data, doc_id % 50 * 1000 AS valid_from, CASE WHEN doc_id % 7 = 0 THEN 100000 + doc_id ELSE {FOREVER} END AS valid_to, {BELIEVED} FROM @documents""",
+    "tables": f"""
+SELECT c_custkey AS ver, 'c:' || c_custkey AS id, 'customer' AS type, CASE c_custkey % 6 WHEN 0 THEN '{{"name":5,"title":"  T' || c_custkey || ' ","image":7,"avatar":" https://x/' || c_custkey || '.png "}}'
+  WHEN 1 THEN '{{"name":"","displayName":"D' || c_custkey || '","icon":"javascript:x"}}' WHEN 2 THEN '{{"slug":"s","heading":"H"}}' WHEN 3 THEN '{{"name":["a"],"photo":"HTTP://y/z"}}' WHEN 4 THEN '{{"id":"no","code":"no"}}'
+  ELSE '{{"name":"' || c_name || '","derived":{{"wins":' || c_custkey % 17 || '}}}}' END AS data, {ALWAYS}, {BELIEVED} FROM @customer""",
     "outbox": """
 SELECT event_id + 1 AS seq, event_type AS op, CASE WHEN event_id % 3 = 0 THEN 'edge' ELSE 'node' END AS entity, 'u:' || user_id AS id, event_type AS label,
   CASE WHEN event_id % 4 = 0 THEN 'close' ELSE 'insert' END AS shape, MS(ts) AS ts, CASE WHEN event_id % 6 = 0 THEN 'trigger' END AS source FROM @events""",

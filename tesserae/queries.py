@@ -181,7 +181,10 @@ def neighbors_page(spark, d):
     return scan.page(n, ["id"], 20, scan.encode_cursor(["c:2"]))
 
 
-@query(f"WITH l AS (SELECT * FROM edges WHERE {at_sql(O1, 'valid')}) SELECT a.src AS c, a.dst AS o, b.dst AS p FROM l a JOIN l b ON a.dst = b.src JOIN nodes n ON n.id = a.dst WHERE a.rel = 'placed' AND b.rel = 'contains' AND n.valid_from <= {O1}")
+ENDS = f"k AS MATERIALIZED (SELECT id, type FROM nodes WHERE {at_sql(O1, 'valid')} AND {at_sql(None, 'recorded')})"
+
+
+@query(f"WITH l AS MATERIALIZED (SELECT src, dst, rel FROM edges WHERE rel IN ('placed', 'contains') AND {at_sql(O1, 'valid')} AND {at_sql(None, 'recorded')}), {ENDS} SELECT a.src AS c, a.dst AS o, b.dst AS p FROM l a JOIN k c ON c.id = a.src AND c.type = 'customer' JOIN k o ON o.id = a.dst AND o.type = 'order' JOIN l b ON b.src = a.dst AND b.rel = 'contains' JOIN k p ON p.id = b.dst AND p.type = 'part' WHERE a.rel = 'placed'")
 def match_customer_order_part(spark, d):
     return pattern.Pattern(nodes_of(spark, d), edges_of(spark, d), TimeSlice(O1)).node("c", "customer").out("placed").node("o", "order").out("contains").node("p", "part").to_dataframe()
 

@@ -1,11 +1,13 @@
 """Corpus pipeline over `documents`: quality rules, line dedup, n-gram Jaccard join, mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of documents. Rows that repeat an id are one document to the Jaccard stage and stay or go together.
+of documents. Rows that repeat an id are one document to the Jaccard stage and stay or go together. Null texts fail the
+quality rules; rows with null ids pass the Jaccard stage, as they are linked with nothing. Each stage reads and writes
+texts of any length. An empty table gives an empty result. Columns besides those of documents are kept until the last
+stage, whatever their names.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tesserae.llm.common import materialize, read
 from tesserae.llm.jaccard import jaccard_components
@@ -26,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word sets (similarity 0.8 or more) join, the one with the smallest id stays."""
     found = jaccard_components(docs, 5, 80, 100)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,32 @@ def test_stages_against_brute_force(spark):
     assert set(rows[4]) <= set(rows[3])
     sp = sentencepiece.SentencePieceProcessor(model_file=spm.default_model())
     assert sorted((r[0], tuple(r[2])) for r in rows[5]) == sorted((r[0], tuple(sp.encode(r[1]))) for r in rows[4])
+
+
+def run_stages(spark, df):
+    for name, f in corpus_pipeline.STAGES:
+        before, df = df.columns, corpus_pipeline.materialize(f(spark, df, ""), "test")
+        assert name == "SentencePiece" or df.columns == before
+    return df
+
+
+def test_empty_table(spark):
+    assert run_stages(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")).collect() == []
+
+
+def test_nulls_repeats_clashing_names_and_long_texts(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice(["ba", "ne", "ti", "sor", "lu", "am"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = [(i, text(r.randint(80, 200)), "en", r.choice(["a", "b"])) for i in range(60)]
+    docs += [(None, text(150), "en", "a"), (None, text(150), None, None), (70, None, None, None), (71, "", "en", "b"), (5, text(120), "en", "a"), docs[7], docs[7], (80, "\n".join(text(30) for _ in range(3_000)), "en", "b"), (81, text(60_000), "en", "a")]
+    names = "doc_id long, text string, lang string, source string, _id string, _n int, _same string, _gone int, _dropped int, copies int, _row string, _d int, log_ppl int, n int, fp string"
+    df = spark.createDataFrame([(*d, "x", 1, "y", 2, 3, 4, "z", 5, 6, 7, "w") for d in docs], names).repartition(3)
+    out = run_stages(spark, df).collect()
+    ids = {x.doc_id for x in out}
+    assert ids <= {d[0] for d in docs} and not ids & {70, 71} and {None, 80, 81} <= ids
+    size = {}
+    for d in docs:
+        if d[1]:
+            size[d[3]] = size.get(d[3], 0) + len(d[1].split())
+    assert all(x.n_tokens == len(x.ids) > 50 for x in out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +122,19 @@ class Pattern:
         return out.withColumn(alias, F.col("_at")).join(self._nodes(alias, type), alias).select(start, alias, "depth")
 
 
+def path_counts(edges: DataFrame, least: int, most: int) -> DataFrame:
+    """(a, b, depth, n): how many simple paths of least to most edges lead from a to b. Parallel edges are counted, not
+    walked one by one."""
+    hop = edges.groupBy("src", "dst").agg(F.count("*").alias("many")).filter("src <> dst")
+    level = edges.select("src").union(edges.select("dst")).distinct().select(F.col("src").alias("a"), F.col("src").alias("at"), F.array("src").alias("path"), F.lit(1).cast("long").alias("n"))
+    found = []
+    for depth in range(1, most + 1):
+        level = level.join(hop, F.col("at") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select("a", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), (F.col("n") * F.col("many")).alias("n"))
+        if depth >= least:
+            found.append(level.groupBy("a", F.col("at").alias("b")).agg(F.sum("n").alias("n")).select("a", "b", F.lit(depth).alias("depth"), "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
 class BadSpec(ValueError):
     pass
 

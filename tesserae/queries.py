@@ -226,9 +226,13 @@ def match_var_1_3(spark, d):
     return paths_1_3(morning(spark, d))
 
 
-@query()
+HOP = "hop AS MATERIALIZED (SELECT src, dst, count(*) AS m FROM links GROUP BY src, dst)"
+
+
+@query(f"WITH {HOP} SELECT src AS a, dst AS b, 1 AS depth, m AS n FROM hop UNION ALL SELECT x.src, y.dst, 2, sum(x.m * y.m)::BIGINT FROM hop x JOIN hop y ON y.src = x.dst WHERE y.dst <> x.src GROUP BY x.src, y.dst UNION ALL SELECT x.src, z.dst, 3, sum(x.m * y.m * z.m)::BIGINT FROM hop x JOIN hop y ON y.src = x.dst JOIN hop z ON z.src = y.dst WHERE y.dst <> x.src AND z.dst <> x.src AND z.dst <> y.src GROUP BY x.src, z.dst")
 def match_var_1_3_all(spark, d):
-    return paths_1_3(all_links(spark, d))
+    """Paths of one to three links over the whole table, counted by their ends and length (there are hundreds of millions)."""
+    return pattern.path_counts(all_links(spark, d), 1, 3)
 
 
 def paths_1_3(links):
@@ -267,7 +271,10 @@ def journey_users(spark, d):
     return traverse.journey("u:3", 1704067200000, morning(spark, d), 4)
 
 
-@query()
+ALL_J = ["j0 AS (SELECT 'u:3' AS id, CAST(1704067200000 AS BIGINT) AS t)"] + [f"j{k} AS (SELECT dst AS id, min(greatest(t, valid_from)) AS t FROM j{k - 1} JOIN links ON src = id WHERE valid_to > t AND dst <> 'u:3' GROUP BY dst)" for k in range(1, 5)]
+
+
+@query(f"WITH {', '.join(ALL_J)} SELECT id, min(t) AS arrival, min(k)::BIGINT AS hops FROM ({' UNION ALL '.join(f'SELECT id, t, {k} AS k FROM j{k}' for k in range(1, 5))}) GROUP BY id")
 def journey_users_all(spark, d):
     return traverse.journey("u:3", 1704067200000, all_links(spark, d), 4)
 
@@ -277,7 +284,11 @@ def shortest_bounded(spark, d):
     return traverse.shortest_costs("u:3", pattern.adjacency(morning(spark, d)), True, 5)
 
 
-@query()
+ALL_W = "w AS MATERIALIZED (SELECT src, dst, min(weight) AS weight FROM links GROUP BY src, dst)"
+ALL_B = ["b0 AS (SELECT 'u:3' AS id, CAST(0 AS DOUBLE) AS cost)"] + [f"b{k} AS (SELECT id, min(cost) AS cost FROM (SELECT * FROM b{k - 1} UNION ALL SELECT dst, cost + weight FROM b{k - 1} JOIN w ON src = id) GROUP BY id)" for k in range(1, 6)]
+
+
+@query(f"WITH {ALL_W}, {', '.join(ALL_B)} SELECT id, cost FROM b5")
 def shortest_bounded_all(spark, d):
     return traverse.shortest_costs("u:3", pattern.adjacency(all_links(spark, d)), True, 5)
 
@@ -287,7 +298,7 @@ def shortest_hops(spark, d):
     return traverse.shortest_costs("u:3", pattern.adjacency(morning(spark, d)), False)
 
 
-@query()
+@query(f"WITH {ALL_W}, j(id, hops) AS (SELECT 'u:3', 0 UNION SELECT dst, hops + 1 FROM j JOIN w ON src = id WHERE hops < 40) SELECT id, min(hops)::DOUBLE AS cost FROM j GROUP BY id")
 def shortest_hops_all(spark, d):
     return traverse.shortest_costs("u:3", pattern.adjacency(all_links(spark, d)), False)
 
@@ -331,9 +342,14 @@ def community_users(spark, d):
     return algorithms.community(*people(spark, d))
 
 
-@query()
+# hop counts and numbers of shortest paths, level by level; nobody is further than REACH links from whom they reach
+REACH = 8
+FAR = ["f0 AS (SELECT id AS s, id AS t, 0 AS d, CAST(1 AS DOUBLE) AS p FROM u)"] + [f"f{k} AS MATERIALIZED (SELECT s, dst AS t, {k} AS d, sum(p * m) AS p FROM f{k - 1} JOIN hop ON src = t WHERE (s, dst) NOT IN ({' UNION ALL '.join(f'SELECT s, t FROM f{i}' for i in range(k))}) GROUP BY s, dst)" for k in range(1, REACH + 1)]
+
+
+@query(f"WITH {GRAPH}, {HOP}, {', '.join(FAR)}, f AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(REACH + 1))}), c AS (SELECT count(*) AS n FROM u), b AS (SELECT x.t AS v, sum(x.p * y.p / z.p) AS part FROM f x JOIN f y ON y.s = x.t JOIN f z ON z.s = x.s AND z.t = y.t WHERE x.d > 0 AND y.d > 0 AND x.d + y.d = z.d GROUP BY x.t) SELECT u.id, round(coalesce(part, 0) / ((n - 1)::DOUBLE * (n - 2)), 9) AS score FROM u CROSS JOIN c LEFT JOIN b ON b.v = u.id")
 def betweenness_users(spark, d):
-    return algorithms.betweenness(*people(spark, d))
+    return algorithms.betweenness(*people(spark, d)).select("id", F.round("score", 9).alias("score"))
 
 
 @query("WITH t AS (SELECT DISTINCT 'c:' || o_custkey AS id, 'p:' || l_partkey AS tag FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT count(DISTINCT id) AS n FROM t), f AS (SELECT tag, count(*) AS df FROM t GROUP BY tag) SELECT t.id, round(sum(ln(n.n::DOUBLE / df)), 6) AS score FROM t JOIN f USING (tag) CROSS JOIN n WHERE tag IN (SELECT tag FROM t WHERE id = 'c:7') AND t.id <> 'c:7' GROUP BY t.id ORDER BY score DESC, t.id LIMIT 10")
@@ -444,7 +460,7 @@ def retrieval_metrics(spark, d):
     return m.select(*[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-@query()
+@query(f"WITH {LEGS}, s AS (SELECT 'd:' || id AS id FROM (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id) ORDER BY score DESC, id LIMIT 5), hop AS (SELECT 'd:' || doc_id AS x, 'src:' || source AS y FROM documents UNION SELECT 'src:' || source, 'd:' || doc_id FROM documents), w(id, depth, seed) AS (SELECT id, 0, id FROM s UNION SELECT y, depth + 1, seed FROM w JOIN hop ON x = w.id WHERE depth < 2) SELECT id, min(depth)::INTEGER AS depth, min(seed) FILTER (WHERE depth = m) AS seed FROM (SELECT *, min(depth) OVER (PARTITION BY id) AS m FROM w) GROUP BY id")
 def hybrid_walk(spark, d):
     """Fused document seeds, walked along a chain of documents of one source."""
     docs = table(spark, d, "documents")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Forest, WordHashes, components, lookup, map_rows, materialize, mix, read, shingle_hashes, signed
+from tesserae.llm.common import Forest, WordHashes, components, lookup, map_rows, materialize, mix, read, shingle_hashes, signed, trim
 
 BLOCK, QUERIES = 128, 128
 #: Sets of more tokens are held in the matrix by 32 bits a token, others by 16.
@@ -35,7 +35,7 @@ NARROW = 2048
 SPLIT = 50_000
 #: Common tokens told to the tasks, at most; a token is common from COMMON sightings on.
 MAX_COMMON, COMMON = 200_000, 20
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -79,6 +79,8 @@ def common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, list[tuple[int,
                     held, n = [], 0
         if held:
             yield out()
+        held.clear()
+        trim()
 
     seen = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     top = seen.orderBy(F.desc("n"), "token").limit(MAX_COMMON).collect()

@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import map_rows, materialize, read
+from tesserae.llm.common import map_rows, materialize, read, trim
 
-ORDER, SHARD, CHUNK, PIECE = 5, 4_000_000, 4_000_000, 1 << 20
+ORDER, SHARD, PIECE = 5, 4_000_000, 1 << 20
+#: Characters that a task counts at once, and distinct grams it keeps before it passes them on.
+CHUNK, KEPT = 2_000_000, 1_000_000
 MIN_WORDS, MAX_REPEAT, MIN_DOCS = 50, 50, 30
 #: By score: the items it is a mean of, width, steady, least.
 BANDS = {"log_ppl": ("n_words", 4.0, 1000, 0.5), "char_ppl": ("n_chars", 10.0, 2000, 0.2)}
@@ -63,8 +65,8 @@ def parts(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate([before, c[lo : lo + PIECE]])
 
 
-def distinct_grams(held: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Grams, hashes and counts of pieces."""
+def distinct(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams (a row of codes each), hashes and counts of pieces."""
     codes = np.concatenate(held)
     inside = np.ones(len(codes), bool)  # windows that run into the next piece are none
     for end in np.cumsum([len(x) for x in held]):
@@ -86,7 +88,22 @@ def distinct_grams(held: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.nd
         at = np.flatnonzero(inside)
         _, first, n = np.unique(hashed(windows(codes))[at], return_index=True, return_counts=True)
         grams = np.stack([c[at[first]] for c in windows(codes)], axis=1)
-    return np.ascontiguousarray(grams).view(f"<U{ORDER}")[:, 0].tolist(), hashed(list(grams.T)), n
+    return grams, hashed(list(grams.T)), n
+
+
+def merged(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, first, at = np.unique(np.concatenate([a[1], b[1]]), return_index=True, return_inverse=True)
+    return np.concatenate([a[0], b[0]])[first], h, np.bincount(at, weights=np.concatenate([a[2], b[2]])).astype(np.int64)
+
+
+def as_text(grams: np.ndarray) -> list[str]:
+    return np.ascontiguousarray(grams, np.uint32).view(f"<U{ORDER}")[:, 0].tolist()
+
+
+def distinct_grams(held: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same with the grams' texts."""
+    grams, h, n = distinct(held)
+    return as_text(grams), h, n
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -94,12 +111,21 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
+        found: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def fold() -> None:
             for lang, pieces in held.items():
-                g, h, n = distinct_grams(pieces)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.string()), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "gram", "h", "n"])
+                new = distinct(pieces)
+                found[lang] = merged(found[lang], new) if lang in found else new
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (g, h, n) in found.items():
+                for lo in range(0, len(h), 100_000):
+                    some = as_text(g[lo : lo + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(h[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000])], names=["lang", "gram", "h", "n"])
+            found.clear()
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -107,9 +133,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     held.setdefault(lang, []).append(piece)
                     size += len(piece)
                     if size >= CHUNK:
-                        yield from out()
-                        held, size = {}, 0
+                        fold()
+                        size = 0
+                        if sum(len(x[1]) for x in found.values()) >= KEPT:
+                            yield from out()
+        fold()
         yield from out()
+        trim()
 
     slim = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "lang string, gram string, h long, n long").groupBy("lang", "gram").agg(F.first("h").alias("h"), F.sum("n").alias("n"))

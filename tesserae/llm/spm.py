@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import read
+from tesserae.llm.common import read, trim
 
 #: Fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -241,6 +241,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, check: bool
                     ids, texts, size = [], [], 0
             if ids:
                 yield out(ids, texts)
+        trim()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean, parity boolean")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tesserae import model
 from tesserae.model import FOREVER, LIVE, TimeSlice, shared_dir
-from tesserae.operators import access, algorithms, contests, hybrid, ingest, judge, pattern, scan, temporal, text, traverse, vector, write
+from tesserae.operators import access, algorithms, contests, embed, hybrid, ingest, judge, pattern, scan, temporal, text, traverse, upcast, vector, write
 from tesserae.plans.projection import project
-from tesserae.queries import BM, COS, DAY, GRAPH, LIVE_SQL, PR, T1, T2, WORDS, at_sql, edges_of, morning, nodes_of, people, query, seeds, table, users, vectors
+from tesserae.queries import BM, COS, DAY, GRAPH, LIVE_SQL, PR, T1, T2, WORDS, all_links, at_sql, edges_of, morning, nodes_of, people, query, seeds, table, users, vectors
 from tesserae.streaming import feed
 
 NOW = T2 * 2
@@ -568,3 +568,83 @@ def taxonomy_paths(spark, d):
         return {k: (len(text) + i) % 7 / 10 for i, k in enumerate(kids)} | {judge.STOP: 0.1}
 
     return judge.taxonomy(named(spark, d), tree, "root", go).select("id", F.array_join("path", ">").alias("path"), F.round("p", 9).alias("p"))
+
+
+# what is read in the newest shape, and other reads
+
+
+@query("SELECT event_id AS ver, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 ELSE event_id END AS recorded_from FROM events")
+def recorded_backfill(spark, d):
+    old = table(spark, d, "events").select(F.col("event_id").alias("ver"), F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"), F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id")).cast("long").alias("recorded_from"))
+    return temporal.backfill_recorded(old.filter("recorded_from >= 0")).select("ver", "recorded_from")
+
+
+CHAIN = upcast.Chain(("name string", "name string, level int"), (lambda v: F.struct(v["name"].alias("name"), F.char_length(v["name"]).alias("level")),))
+
+
+def shaped(spark, d):
+    """Customers of which a third have been written in the second shape."""
+    two = F.concat(F.lit('{"_v":2,"name":"'), F.col("c_name"), F.lit('","level":7}'))
+    one = F.concat(F.lit('{"name":"'), F.col("c_name"), F.lit('"}'))
+    times = [F.lit(x).cast("long").alias(c) for c, x in (("valid_from", 0), ("valid_to", FOREVER), ("recorded_from", 0), ("recorded_to", FOREVER))]
+    return table(spark, d, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("id"), F.lit("customer").alias("type"), F.when(F.col("c_custkey") % 3 == 0, two).otherwise(one).alias("data"), *times)
+
+
+@query("""SELECT 'c:' || c_custkey AS id, '{"name":"' || c_name || '","level":' || CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE len(c_name) END || '}' AS data FROM customer""")
+def upcast_read(spark, d):
+    return upcast.upcast(shaped(spark, d), {"customer": CHAIN}).select("id", "data")
+
+
+@query("SELECT 'customer' AS type, 2 AS current, count(*) AS live, count(*) FILTER (WHERE c_custkey % 3 <> 0) AS behind FROM customer")
+def upcast_report(spark, d):
+    return upcast.upcast_report(shaped(spark, d), {"customer": CHAIN})
+
+
+@query(f"SELECT count(*) AS live, count(*) FILTER (WHERE ver % 4 < 2) AS embedded, count(*) FILTER (WHERE ver % 4 >= 2 AND trim(body) <> '') AS unembedded, count(*) FILTER (WHERE ver % 4 = 1) AS stale, count(*) FILTER (WHERE ver % 4 < 2) AS vectors FROM docs WHERE {LIVE_SQL} AND trim(body) <> ''")
+def embedding_report(spark, d):
+    texts = embed.input_texts(docs(spark, d), {}).filter("text is not null")
+    n = F.substring("id", 3, 20).cast("long")
+    stored = texts.filter(n % 4 < 2).select("id", F.lit(0).alias("chunk"), "text", F.array(F.lit(1.0)).alias("emb"), F.when(n % 4 == 1, "old").otherwise(vector.embed_hash("m", F.col("text"))).alias("embed_hash"))
+    return embed.embedding_report(texts, stored, "m")
+
+
+@query("SELECT row_number() OVER (ORDER BY id) AS ver, id, src, dst FROM edges WHERE rel = 'in_nation' QUALIFY ver > 30 ORDER BY ver LIMIT 40")
+def edge_feed_page(spark, d):
+    e = model.ranked(edges_of(spark, d, "in_nation").select("id", "src", "dst"), ["id"], "n").withColumn("ver", F.col("n") + 1)
+    return feed.change_feed(e, 30, 40).select("ver", "id", "src", "dst")
+
+
+ARRIVED = [f"SELECT id, t FROM j{k}" for k in range(1, 5)]
+JOURNEY = ["j0 AS (SELECT 'u:3' AS id, CAST(1704067200000 AS BIGINT) AS t)"] + [f"j{k} AS (SELECT dst AS id, min(greatest(t, valid_from)) AS t FROM j{k - 1} JOIN links ON src = id WHERE valid_to > t AND dst <> 'u:3' GROUP BY dst)" for k in range(1, 5)]
+
+
+@query(f"WITH {', '.join(JOURNEY)}, a AS (SELECT id, min(t) AS arrival FROM ({' UNION ALL '.join(ARRIVED)}) GROUP BY id) SELECT a.id, arrival, v.ver FROM a JOIN versions v ON v.id = a.id WHERE v.recorded_to = {FOREVER} AND v.valid_from <= arrival AND v.valid_to > arrival")
+def journey_versions(spark, d):
+    found = traverse.journey("u:3", 1704067200000, all_links(spark, d), 4)
+    return traverse.arrivals_in_force(found, project(spark, d, "versions")).select("id", "arrival", "ver")
+
+
+@query(f"WITH {P} SELECT id, src, valid_from, recorded_from FROM (SELECT 'l:' || ver AS id, id AS src, valid_from, recorded_from FROM p UNION ALL SELECT 'o:' || ver, id, valid_from, {NOW} FROM p)")
+def bulk_edges(spark, d):
+    e = leads(spark, d)
+    rows = people_rows(spark, d).select(F.concat(F.lit("o:"), "ver").alias("id"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("owns").alias("rel"), "valid_from")
+    return write.bulk_edges(e, rows, SCHEMA, NOW, people_rows(spark, d)).select("id", "src", "valid_from", "recorded_from")
+
+
+@query(f"WITH {SHORT}, q AS (SELECT id, len(text) AS n FROM s) SELECT id, CASE WHEN greatest(n % 10, (n + 1) % 10) = n % 10 THEN 'book' ELSE 'film' END AS type, greatest(n % 10, (n + 1) % 10) / 10.0::DOUBLE AS confidence FROM q")
+def infer_types(spark, d):
+    return judge.infer_types(named(spark, d), by_length, ("book", "film"), {}, "text").select("id", "type", "confidence")
+
+
+@query(f"WITH {SHORT}, q AS (SELECT id, len(text) AS n FROM s) SELECT id, CASE WHEN n % 10 < (n + 1) % 10 THEN 'none' WHEN n % 10 < 6 THEN 'uncertain' ELSE 'typed' END AS verdict FROM q")
+def typed_edges(spark, d):
+    c = named(spark, d).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("src"), F.lit("b").alias("dst"), F.array(F.lit("cites")).alias("rels"), "text")
+    return judge.type_edges(c, by_length, "which?", "text", ("cites",)).select(F.col("id").cast("long").alias("id"), "verdict")
+
+
+@query()
+def chunked_texts(spark, d):
+    """Documents in windows of at most 400 characters."""
+    rows = embed.input_texts(docs(spark, d), {}).filter("text is not null")
+    none = spark.createDataFrame([], embed.VECTORS)
+    return embed.reembed(rows, none, "m", lambda texts: [[float(len(t)), 1.0] for t in texts], 2, size=400, overlap=40).select("id", "chunk", "text")

@@ -598,3 +598,19 @@ def test_release_deletes_what_was_written(spark):
     model.release(spark)
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_chunks_are_windows_that_end_at_gaps():
+    assert vector.chunk_text("one two three four", 9) == ["one two", "three", "four"]
+    r = random.Random(3)
+    for _ in range(200):
+        t = "".join(r.choice("ab  \n") for _ in range(r.randint(0, 120)))
+        size = r.randint(1, 30)
+        pieces = vector.chunk_text(t, size, r.randint(0, size - 1))
+        assert all(0 < len(p) <= size and p == p.strip() and p in t for p in pieces)
+        assert set("".join(pieces)) - {" ", "\n"} == set(t) - {" ", "\n"}
+        plain = vector.chunk_text(t, size)
+        assert "".join("".join(plain).split()) == "".join(t.split())  # nothing is lost, nothing is said twice
+    for bad in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError):
+            vector.chunk_text("x", *bad)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a looked-up table that are broadcast: its keys with the most rows. A bound by construction.
 HOT_KEYS = 1024
+#: No marker file beside what only this program reads, after the write has returned.
+NO_MARK = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -41,9 +43,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**NO_MARK).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    trim()
     return spark.read.schema(df.schema).parquet(path)
 
 

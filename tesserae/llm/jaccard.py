@@ -83,8 +83,10 @@ def common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, list[tuple[int,
         trim()
 
     seen = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
-    top = seen.orderBy(F.desc("n"), "token").limit(MAX_COMMON).collect()
-    return np.sort(np.array([r.token for r in top], np.int64).view(np.uint64)), [(r.token, -(-r.n // SPLIT)) for r in top if r.n > SPLIT]
+    top = seen.orderBy(F.desc("n"), "token").limit(MAX_COMMON).toArrow()
+    token, n = top["token"].to_numpy(), top["n"].to_numpy()
+    many = n > SPLIT
+    return np.sort(token.view(np.uint64)), [(int(t), int(-(-x // SPLIT))) for t, x in zip(token[many], n[many], strict=True)]
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:

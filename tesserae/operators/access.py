@@ -43,41 +43,71 @@ def check_model(model: dict[str, Relation]) -> list[str]:
     return order
 
 
+def strata(model: dict[str, Relation], usersets: list[tuple[str, str]] = ()) -> list[list[str]]:
+    """Relations in layers: what a relation intersects with or subtracts lies in layers before it, what it follows from no
+    later than it. usersets: pairs (relation, relation of its subjects) that the tuples have. Raises on a cycle through those."""
+    check_model(model)
+    follows = {n: {*r.any, *(rel for _, rel in r.via), *(x for m, x in usersets if m == n and x in model)} for n, r in model.items()}
+    layer = dict.fromkeys(model, 0)
+    changed = True
+    while changed:
+        changed = False
+        for n, r in model.items():
+            need = max([layer[n], *(layer[x] for x in follows[n]), *(layer[x] + 1 for x in (*r.both, *r.minus))])
+            if need > len(model):
+                raise ValueError(f"{n} depends on its own exclusion")
+            changed |= need != layer[n]
+            layer[n] = need
+    return [[n for n in model if layer[n] == k] for k in range(max(layer.values(), default=-1) + 1)]
+
+
 def granted(tuples: DataFrame, model: dict[str, Relation]) -> DataFrame:
-    """(object, relation, subject) that hold. tuples: object, relation, subject, subject_relation (null: the subject itself)."""
-    order = check_model(model)
+    """(object, relation, subject) that hold. tuples: object, relation, subject, subject_relation (null: the subject itself).
+
+    Layer by layer, each to its fixpoint: a relation follows from own tuples, usersets, computed relations and those of
+    parents, of all that holds, and what it subtracts or must have besides is complete by then."""
+    check_model(model)
     tuples = persisted(tuples.select("object", "relation", "subject", "subject_relation").distinct())  # read in every round
-    usersets = tuples.filter("subject_relation is not null").select(F.col("object").alias("o"), F.col("relation").alias("r"), F.col("subject").alias("via_object"), F.col("subject_relation").alias("via_relation"))
     spark = tuples.sparkSession
+    named = tuples.filter("subject_relation is not null")
+    pairs = [(r.relation, r.subject_relation) for r in named.select("relation", "subject_relation").distinct().collect() if r.relation in model]  # names of relations
+    sets = named.select(F.col("object").alias("o"), F.col("relation").alias("r"), F.col("subject").alias("via_object"), F.col("subject_relation").alias("via_relation"))
     through = [(n, t, rel) for n, r in model.items() for t, rel in r.via]
     if through:  # (child, to) has whoever has via_relation of the parent
         ttu = F.broadcast(spark.createDataFrame(through, "to string, tupleset string, via_relation string"))  # the model's
         parents = tuples.join(ttu, F.col("relation") == F.col("tupleset")).select(F.col("object").alias("o"), F.col("to").alias("r"), F.col("subject").alias("via_object"), "via_relation")
-        usersets = usersets.unionByName(parents)
-    usersets = persisted(usersets.distinct())
-    above: dict[str, set[str]] = {n: set() for n in model}  # relations that follow from one, through any number of steps
-    for n in model:
-        todo = [n]
-        while todo:
-            x = todo.pop()
-            for m, r in model.items():
-                if x in r.any and m not in above[n]:
-                    above[n].add(m)
-                    todo.append(m)
-    implied = F.create_map(*[F.lit(x) if i == 0 else x for n in model for i, x in ((0, n), (1, F.array(F.lit(n), *[F.lit(m) for m in sorted(above[n])])))])
-    spread = lambda rows: rows.select("object", F.explode(F.element_at(implied, F.col("relation"))).alias("relation"), "subject").distinct()
-    direct = tuples.filter("subject_relation is null").filter(F.col("relation").isin(*model)).select("object", "relation", "subject")
-    held = front = persisted(spread(direct))
-    while not front.isEmpty():
-        new = front.join(usersets, (F.col("object") == F.col("via_object")) & (F.col("relation") == F.col("via_relation"))).select(F.col("o").alias("object"), F.col("r").alias("relation"), "subject")
-        front = persisted(spread(new).join(held, ["object", "relation", "subject"], "left_anti"))
-        held = held.unionByName(front)
-    held = persisted(held)
-    for n in order:
-        for other, how in (*((o, "left_semi") for o in model[n].both), *((o, "left_anti") for o in model[n].minus)):
-            ok = held.filter(F.col("relation") == n).join(held.filter(F.col("relation") == other).select("object", "subject"), ["object", "subject"], how)
-            held = persisted(held.filter(F.col("relation") != n).unionByName(ok.select("object", "relation", "subject")))
-    return held
+        sets = sets.unionByName(parents)
+    sets = persisted(sets.distinct())
+    cols = ["object", "relation", "subject"]
+    held = None
+    for layer in strata(model, pairs):
+        computed = [(a, n) for n in layer for a in model[n].any]
+
+        def follow(rows: DataFrame, layer=layer, computed=computed) -> DataFrame:
+            out = rows.join(sets.filter(F.col("r").isin(*layer)), (F.col("object") == F.col("via_object")) & (F.col("relation") == F.col("via_relation"))).select(F.col("o").alias("object"), F.col("r").alias("relation"), "subject")
+            if computed:
+                table = F.broadcast(spark.createDataFrame(computed, "relation string, to string"))  # the model's
+                out = out.unionByName(rows.join(table, "relation").select("object", F.col("to").alias("relation"), "subject"))
+            return out
+
+        def allowed(rows: DataFrame, layer=layer, held=held) -> DataFrame:
+            for n in layer:
+                for other in model[n].minus:
+                    rows = rows.join(held.filter(F.col("relation") == other).select("object", F.lit(n).alias("relation"), "subject"), cols, "left_anti")
+                for other in model[n].both:
+                    both = held.filter(F.col("relation") == other).select("object", F.lit(n).alias("relation"), "subject")
+                    rows = rows.filter(F.col("relation") != n).unionByName(rows.filter(F.col("relation") == n).join(both, cols, "left_semi"))
+            return rows.select(*cols)
+
+        first = tuples.filter("subject_relation is null").filter(F.col("relation").isin(*layer)).select(*cols)
+        if held is not None:
+            first = first.unionByName(follow(held))
+        front = mine = persisted(allowed(first.distinct()))
+        while not front.isEmpty():
+            front = persisted(allowed(follow(front).distinct()).join(mine, cols, "left_anti"))
+            mine = mine.unionByName(front)
+        held = persisted(mine if held is None else held.unionByName(mine))
+    return tuples.select(*cols).limit(0) if held is None else held
 
 
 def list_objects(held: DataFrame, relation: str, subject: str, limit: int = 100, cursor: str | None = None) -> DataFrame:

@@ -30,8 +30,7 @@ def discover(spark: SparkSession, folder: str, include: tuple[str, ...] = (".md"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     base = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
-    key = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)|^.*?" + re.escape(base) + "/", "")
-    key = F.when(F.instr("path", base + "/") > 0, F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")).otherwise(key)
+    key = F.substring("path", F.instr("path", f"{base}/") + F.lit(len(base) + 1), F.char_length("path"))
     rows = files.select(key.alias("key"), F.decode("content", "UTF-8").alias("raw"))
     rows = rows.filter(F.lower("key").rlike("(" + "|".join(re.escape(e.lower()) for e in include) + ")$")).filter(~F.col("key").rlike(r"(^|/)\."))
     for pattern in exclude:

@@ -423,6 +423,38 @@ def test_expand_and_checks(spark):
     assert {r.subject for r in access.check(held, asks).collect() if r.allowed} == {"ann", "bob", "ian"}
 
 
+def test_granted_sets_against_single_checks(spark):
+    """Exclusions and intersections within what others follow from, parents and usersets, on random tuples."""
+    m = {"member": access.Relation(), "parent": access.Relation(), "banned": access.Relation(), "editor": access.Relation(minus=("banned",)), "viewer": access.Relation(any=("editor",), via=(("parent", "viewer"),)), "auditor": access.Relation(both=("viewer",)), "reader": access.Relation(any=("viewer", "auditor"), minus=("banned",), via=(("parent", "reader"),))}
+    assert access.strata(m)[0] == ["member", "parent", "banned"] and "reader" in access.strata(m)[-1]
+    r = random.Random(12)
+    for _ in range(3):
+        rows_ = set()
+        for _ in range(60):
+            o, rel = f"o{r.randrange(6)}", r.choice(list(m))
+            rows_.add((o, rel, f"o{r.randrange(6)}", None) if rel == "parent" else (o, rel, f"o{r.randrange(6)}", "member") if r.random() < 0.3 else (o, rel, f"u{r.randrange(6)}", None))
+
+        def check(o, rel, who, above=()):
+            if (o, rel) in above:
+                return False
+            here = (*above, (o, rel))
+            own = any(t[0] == o and t[1] == rel and ((t[2] == who and t[3] is None) or (t[3] is not None and check(t[2], t[3], who, here))) for t in rows_)
+            d = m[rel]
+            own = own or any(check(o, x, who, here) for x in d.any)
+            own = own or any(check(t[2], x, who, here) for s_, x in d.via for t in rows_ if t[0] == o and t[1] == s_)
+            return own and all(check(o, x, who, here) for x in d.both) and not any(check(o, x, who, here) for x in d.minus)
+
+        people = [f"u{i}" for i in range(6)]
+        want = {(f"o{i}", rel, who) for i in range(6) for rel in m if rel != "parent" for who in people if check(f"o{i}", rel, who)}
+        t = spark.createDataFrame(list(rows_), "object string, relation string, subject string, subject_relation string")
+        got = {tuple(x) for x in access.granted(t, m).filter("relation <> 'parent' and subject like 'u%'").collect()}
+        assert got == want
+    with pytest.raises(ValueError):
+        access.strata({"a": access.Relation(minus=("b",)), "b": access.Relation(any=("a",))})
+    with pytest.raises(ValueError):
+        access.strata({"a": access.Relation(minus=("b",)), "b": access.Relation()}, [("b", "a")])
+
+
 def test_tuples_are_written_once_and_revoked(spark):
     e = spark.createDataFrame([], EDGE)
     t = spark.createDataFrame([("1", "doc", "viewer", "ann", None), ("2", "doc", "viewer", "ann", None), ("3", "doc", "viewer", "ann", "member")], "id string, object string, relation string, subject string, subject_relation string")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a looked-up table that are broadcast: its keys with the most rows. A bound by construction.
 HOT_KEYS = 1024
+#: Intermediate tables after which the driver's JVM is asked to collect what it no longer uses.
+COLLECT_EVERY = 12
 #: No marker file beside what only this program reads, after the write has returned.
 NO_MARK = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -46,7 +48,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.options(**NO_MARK).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    trim()
+    if len(_written[spark.sparkContext.applicationId]) % COLLECT_EVERY == 0:
+        # many plans, each with generated classes, broadcasts and shuffles of its own, pile up in the driver otherwise
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

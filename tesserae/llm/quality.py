@@ -77,12 +77,17 @@ def distinct(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     used = np.flatnonzero(there).astype(np.uint32)
     bits = 64 // ORDER
     if len(used) <= 1 << bits:  # grams of the chunk's own alphabet fit a number and sort as such
-        place = np.zeros(0x110000, np.uint64)
-        place[used] = np.arange(len(used), dtype=np.uint64)
+        place = np.zeros(0x110000, np.uint16)
+        place[used] = np.arange(len(used))
         key = np.zeros(len(inside), np.uint64)
         for c in windows(place[codes]):
-            key = (key << np.uint64(bits)) | c
-        key, n = np.unique(key[inside], return_counts=True)
+            key <<= np.uint64(bits)
+            key |= c
+        key = key[inside]
+        key.sort()  # in place: np.unique would sort a copy
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(key)))
+        key = key[first]
         grams = np.stack([used[(key >> np.uint64(bits * (ORDER - 1 - i))) & np.uint64((1 << bits) - 1)] for i in range(ORDER)], axis=1)
     else:
         at = np.flatnonzero(inside)

@@ -51,7 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if len(_written[spark.sparkContext.applicationId]) % COLLECT_EVERY == 0:
         # many plans, each with generated classes, broadcasts and shuffles of its own, pile up in the driver otherwise
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more: what was made of them has been materialized itself."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

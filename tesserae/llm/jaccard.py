@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Forest, WordHashes, components, lookup, map_rows, materialize, mix, read, shingle_hashes, signed, trim
+from tesserae.llm.common import Forest, WordHashes, components, discard, lookup, map_rows, materialize, mix, read, shingle_hashes, signed, trim
 
 BLOCK, QUERIES = 128, 128
 #: Sets of more tokens are held in the matrix by 32 bits a token, others by 16.
@@ -245,7 +245,9 @@ def links_between(met: DataFrame, large: DataFrame, placed: DataFrame, table: Da
     def open_all(pairs: DataFrame) -> DataFrame:
         asked = materialize(pairs.distinct(), "candidates")
         fit = materialize(qualified(asked, placed, table, num, den), "qualified")
-        return opened(fit, placed, docs, k, num, den)
+        links = opened(fit, placed, docs, k, num, den)
+        discard(asked, fit)
+        return links
 
     # each block for its own members, and for one query of every other block that asks its group
     one = met.groupBy("og", "g").agg(F.min_by("q", F.struct(F.xxhash64("q"), "q")).alias("q")).select("q", "g")
@@ -295,6 +297,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     met = hits.groupBy("q", "nq", "g").agg(F.count("*").alias("met"), F.first("og").alias("og"), F.first("own").alias("own"))
     met = materialize(met.filter(F.col("met") >= needed(F.col("nq"), num, den)).select("q", "g", "og", "own"), "met")
     comps = links_between(met, large, placed, table, docs, k, num, den)
+    discard(large, placed, met)
     known = reps.select("fp", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.filter("copies > 1 or component_id is not null").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "copies")
     out = lookup(table.select("doc_id", "n", "fp"), known, "fp", "copies", F.col("doc_id"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import HOT_KEYS, lookup, materialize, read
+from tesserae.llm.common import HOT_KEYS, discard, lookup, materialize, read
 
 TAU, MIN_CHARS = 2, 24
 #: Lines of the index that one task has of one key, about; keys of more are dealt out (the HOT_KEYS most frequent ones).
@@ -122,9 +122,9 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     probes = near.select(F.explode("probes").alias("key"), F.col("h").alias("a"), F.col("w").alias("wa"))
     # a key of many lines: its index is dealt over parts, each of which all its probes meet
     busy = index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > PART).orderBy(F.desc("n"), "key").limit(HOT_KEYS)
-    busy = F.broadcast(materialize(busy.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "busy"))
-    index = index.join(busy, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)))
-    probes = probes.join(busy, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    busy = materialize(busy.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "busy")
+    index = index.join(F.broadcast(busy), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)))
+    probes = probes.join(F.broadcast(busy), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     fits = (F.col("a") != F.col("b")) & explained(F.col("wa"), F.col("wb"), tau)
     pairs = probes.alias("l").join(index.hint("shuffle_hash").alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & fits)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -139,6 +139,7 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     close = both.filter((F.abs(F.char_length("la") - F.char_length("lb")) <= tau) & F.expr(within("la", "lb", tau)))
     gone = close.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("near", F.lit(True))
     marked = materialize(distinct.select("h", "c", "first", "n").join(gone, "h", "left").filter("n > 1 or near"), "marked")
+    discard(distinct, busy, pairs, texts)
     out = lookup(lines.select("doc_id", "same", "pos", *code), marked, ["h", "c"], "n", place)
     exact = F.coalesce(place != F.col("first"), F.lit(False))
     out = out.withColumn("exact", exact).filter("exact or near")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import map_rows, materialize, read, trim
+from tesserae.llm.common import discard, map_rows, materialize, read, trim
 
 ORDER, SHARD, PIECE = 5, 4_000_000, 1 << 20
 #: Characters that a task counts at once, and distinct grams it keeps before it passes them on.
@@ -176,12 +176,14 @@ def probabilities(docs: DataFrame) -> DataFrame:
         p = (n - F.col("cut")) / total + spare / total * F.col("below")
         left = F.when(total > 1, (n - 1 - F.col("cut1") + (spare - F.col("cut") + F.col("cut1")) * F.col("below1")) / (total - 1)).otherwise(F.col("below1"))
         lower = row.select("lang", F.col("gram").alias("suffix"), p.alias("below"), left.alias("below1"), *kept)
-    return lower.select("lang", F.col("suffix").alias("gram"), "h", F.log(F.greatest("below1", F.lit(FLOOR))).cast("float").alias("logp"))
+    model = materialize(lower.select("lang", F.col("suffix").alias("gram"), "h", F.log(F.greatest("below1", F.lit(FLOOR))).cast("float").alias("logp")), "model")
+    discard(*levels)
+    return model
 
 
 def sharded(model: DataFrame) -> tuple[DataFrame, list]:
     """The model with the shard of each gram, and (shard, low, high) of the languages in each shard."""
-    model = materialize(model.select("lang", "h", "logp"), "model")
+    model = model.select("lang", "h", "logp")
     parts = -(-2 * n // SHARD) if (n := model.count()) > SHARD else 1  # the bounds of ranges are estimates
     if parts > 1:
         model = materialize(model.repartitionByRange(parts, "lang", "h").withColumn("shard", F.spark_partition_id()), "model")

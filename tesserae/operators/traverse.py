@@ -10,11 +10,13 @@ from tesserae.operators.pattern import adjacency
 from tesserae.operators.scan import within_fanout
 
 
-def walk(seeds: DataFrame, adj: DataFrame, max_depth: int = 2, max_fanout: int = 1_000, allowed: DataFrame | None = None) -> DataFrame:
+def walk(seeds: DataFrame, adj: DataFrame, max_depth: int = 2, max_fanout: int | None = 1_000, allowed: DataFrame | None = None) -> DataFrame:
     """(id, depth, seed): each node reached at its least depth, by the smallest seed that reaches it there.
 
-    Only allowed nodes are reached, seeds too; nodes of more than max_fanout edges are reached, but not passed."""
-    hop = within_fanout(adj.select("a", "b"), max_fanout).distinct()
+    Only allowed nodes are reached, seeds too; nodes of more than max_fanout edges are reached, but not passed
+    (None: all are passed)."""
+    hop = adj.select("a", "b")
+    hop = (hop if max_fanout is None else within_fanout(hop, max_fanout)).distinct()
     if allowed is not None:
         hop = hop.join(allowed.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
         seeds = seeds.join(allowed.select("id"), "id", "left_semi")

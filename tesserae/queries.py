@@ -464,9 +464,10 @@ def retrieval_metrics(spark, d):
 def hybrid_walk(spark, d):
     """Fused document seeds, walked along a chain of documents of one source."""
     docs = table(spark, d, "documents")
-    top = hybrid.rrf(*legs(spark, d), k=5).select(F.concat(F.lit("d:"), "id").alias("id"))
+    # the SQL orders equal scores by the names, which are text, not by the numbers
+    top = hybrid.rrf(*[leg.withColumn("id", F.concat(F.lit("d:"), "id")) for leg in legs(spark, d)], k=5).select("id")
     adj = docs.select(F.concat(F.lit("d:"), "doc_id").alias("a"), F.concat(F.lit("src:"), "source").alias("b"))
-    return traverse.walk(top, adj.union(adj.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2, 10**9)
+    return traverse.walk(top, adj.union(adj.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2, None)
 
 
 # writes

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae import model
 from tesserae.model import LIVE, TimeSlice, persisted
 from tesserae.operators.pattern import adjacency
 from tesserae.operators.scan import LIMITS, Limits
@@ -105,39 +106,42 @@ def fuse(near: DataFrame, words: DataFrame, k: int) -> DataFrame:
     return fused.join(near.select("id", "snippet"), "id", "left").orderBy(F.desc("score"), "id")
 
 
-def walked(corpus: Corpus, seeds: DataFrame, max_depth: int, direction: str, rels: tuple[str, ...], when: TimeSlice, limits: Limits = LIMITS) -> DataFrame:
+def walked(corpus: Corpus, seeds: DataFrame, max_depth: int, direction: str, rels: tuple[str, ...], when: TimeSlice, limits: Limits | None = LIMITS) -> DataFrame:
     """(id, depth, seed, rank): what is reached from ranked seeds (id, rank) in the slice, in the order depth, rank, id; the
-    row cap is applied by depth and id before that."""
+    row cap is applied by depth and id before that. Without limits all edges are passed and all rows are kept."""
     edges = corpus.edges.filter(when.predicate())
     adj = adjacency(edges.filter(F.col("rel").isin(*rels)) if rels else edges, direction)
-    found = walk(seeds, adj, max_depth, limits.max_fanout, corpus.nodes.filter(when.predicate()))
-    return by_rank(found.orderBy("depth", "id").limit(limits.max_rows), seeds)
+    found = walk(seeds, adj, max_depth, limits.max_fanout if limits else None, corpus.nodes.filter(when.predicate()))
+    return by_rank(found.orderBy("depth", "id").limit(limits.max_rows) if limits else found, seeds)
 
 
-def retrieve(corpus: Corpus, vector: list[float], k: int = 10, max_depth: int = 2, direction: str = "both", rels: tuple[str, ...] = (), when: TimeSlice = LIVE, embedder: str | None = None) -> DataFrame:
+def retrieve(corpus: Corpus, vector: list[float], k: int = 10, max_depth: int = 2, direction: str = "both", rels: tuple[str, ...] = (), when: TimeSlice = LIVE, embedder: str | None = None, limits: Limits | None = LIMITS) -> DataFrame:
     """(id, depth, seed, rank): vector seeds and what a walk reaches from them."""
     corpus.require(embedder)
     seeds = past_vector_seeds(corpus.vectors, vector, corpus.nodes, when, k)
-    return walked(corpus, ranked(seeds, "dist", "id"), max_depth, direction, rels, when)
+    return walked(corpus, ranked(seeds, "dist", "id"), max_depth, direction, rels, when, limits)
 
 
-def hybrid_retrieve(corpus: Corpus, query: str, vector: list[float], k: int = 10, max_depth: int = 2, direction: str = "both", rels: tuple[str, ...] = (), when: TimeSlice = LIVE, embedder: str | None = None, rerank: Callable[[str, DataFrame], DataFrame] | None = None, mmr_k: int | None = None, lam: float = 0.5) -> DataFrame:
+def hybrid_retrieve(corpus: Corpus, query: str, vector: list[float], k: int = 10, max_depth: int = 2, direction: str = "both", rels: tuple[str, ...] = (), when: TimeSlice = LIVE, embedder: str | None = None, rerank: Callable[[str, DataFrame], DataFrame] | None = None, mmr_k: int | None = None, lam: float = 0.5, limits: Limits | None = LIMITS) -> DataFrame:
     """(id, place): fused seeds, walked; then, if asked for, only what rerank(query, candidates) gives a score (id, score), by
     that score; then mmr_k of them by relevance and novelty (the score, or the cosine to the query)."""
     corpus.require(embedder)
     seeds = ranked(fuse(*seed_lists(corpus, query, vector, k, when), k), F.desc("score"), "id")
-    found = persisted(walked(corpus, seeds, max_depth, direction, rels, when))  # no more than the row cap
-    in_order = F.row_number().over(W.orderBy("depth", "rank", "id"))
+    found = persisted(walked(corpus, seeds, max_depth, direction, rels, when, limits))
+    order = ["depth", "rank", "id"]
     if rerank is not None:
         scores = rerank(query, found)
         found = found.join(scores.select("id", "score"), "id")
-        in_order = F.row_number().over(W.orderBy(F.desc("score"), "depth", "rank", "id"))
-    placed = found.withColumn("place", in_order)
+        order = [F.desc("score"), *order]
+    if limits:  # no more than the row cap
+        placed = found.withColumn("place", F.row_number().over(W.orderBy(*order)))
+    else:
+        placed = model.ranked(found, order, "place").withColumn("place", (F.col("place") + 1).cast("int"))
     if mmr_k is None:
         return placed.select("id", "place")
     first = corpus.vectors.filter("chunk = 0").select("id", "emb")
     q = F.array(*[F.lit(float(x)) for x in vector])
     rel = F.col("score") if rerank is not None else F.coalesce(1 - cosine_distance(F.col("emb"), q), F.lit(0.0))
-    rows = placed.join(first, "id", "left").select("id", "place", rel.alias("rel"), "emb").orderBy("place").collect()  # no more than the row cap
+    rows = placed.join(first, "id", "left").select("id", "place", rel.alias("rel"), "emb").orderBy("place").collect()  # without limits as many as are reached
     chosen = mmr([(r.id, r.rel, r.emb) for r in rows], mmr_k, lam)
     return corpus.nodes.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(chosen)], "id string, place int")

@@ -34,3 +34,11 @@ def test_hybrid_walk_orders_equal_scores_by_name(spark, tmp_path):
     docs = [(i, f"{'the ' * n}{'x ' * (20 - n)}", f"s{i}") for i, n in ((3, 9), (4, 7), (9, 5))] + [(i, "x", f"s{i}") for i in (0, 5, 10)]
     corpus(tmp_path, docs, [(0, [1.0, 0.0]), (5, [1.0, 0.1]), (10, [1.0, 0.2])])
     assert differ(spark, tmp_path, "hybrid_walk") == (set(), set())
+
+
+def test_retrieval_passes_busy_nodes_and_keeps_all_rows(spark, tmp_path):
+    # d:1 has an edge from each of 12,500 documents, more than the limits of fan-out and of rows that operators have by default
+    docs = [(1, "the", "s")] + [(400 * i, "of x" if i % 2 else "thinking", "s") for i in range(12_500)]
+    corpus(tmp_path, docs, [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (400, [1.0, 0.2]), (800, [1.0, 0.3])])
+    for name in ("retrieve_walk", "hybrid_retrieve", "hybrid_reranked"):
+        assert differ(spark, tmp_path, name) == (set(), set()), name

@@ -112,6 +112,20 @@ def test_path_counts_by_joins_agree(spark, monkeypatch):
     assert rows() == arrays and len(arrays) > 100
 
 
+def test_path_counts_never_go_by_the_driver(spark, monkeypatch):
+    def broadcasts(plan):
+        own = [plan.toString()] if plan.nodeName() == "BroadcastExchange" else []
+        return own + [x for i in range(plan.children().size()) for x in broadcasts(plan.children().apply(i))]
+
+    edges = spark.range(400).selectExpr("concat('u:', id div 20) src", "concat('u:', id % 20) dst")
+    for names in (20, 19):  # more names than are broadcast go by shuffles
+        monkeypatch.setattr(pattern, "MAX_NAMES", names, raising=False)
+        found = pattern.path_counts(edges, 1, 3)
+        sent = broadcasts(found._jdf.queryExecution().executedPlan().initialPlan())
+        assert bool(sent) == (names == 20) and not any("MapInArrow" in x for x in sent)
+        assert {(r.depth, r.n, r["count"]) for r in found.groupBy("depth", "n").count().collect()} == {(1, 1, 380), (2, 18, 380), (3, 18 * 17, 380)}
+
+
 def test_betweenness_counts_parallel_edges_once_and_has_no_bound(spark, monkeypatch):
     # more links than were brought to a task, between few pairs; then more pairs than are: both give the same
     r = random.Random(8)
